@@ -34,6 +34,14 @@ def thread_edges(items: DataFrame) -> DataFrame:
     return children.join(present, "parent", "left_semi").select("id", "parent")
 
 
+def _write_round(state: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Store one round; returns its finished and live rows and their counts."""
+    stored = materialize(state, "thread-round", partition_by="done")
+    # The flag is a partition column, so the counts come from file footers.
+    counts = {row["done"]: row["count"] for row in stored.groupBy("done").count().collect()}
+    return stored.where("done"), stored.where("NOT done"), counts.get(True, 0), counts.get(False, 0)
+
+
 def _first_round(edges: DataFrame, with_path: bool) -> DataFrame:
     """One row a child: its parent is the first hop, finished when that parent is a root.
 
@@ -46,48 +54,48 @@ def _first_round(edges: DataFrame, with_path: bool) -> DataFrame:
     state = links.join(inner, "hop", "left").select(
         "id", "hop", F.lit(1).cast("bigint").alias("depth"), F.col("has_parent").isNull().alias("done")
     )
+    return state.withColumn("path", F.array("hop")) if with_path else state
+
+
+def _next_round(live: DataFrame, known: DataFrame, with_path: bool, max_path: int) -> DataFrame:
+    """Every live row takes over the path of its hop.
+
+    A live hop is a child itself, so the inner join finds exactly one partner and AQE may broadcast
+    either side once it is small, or split a popular hop.
+    """
+    ahead = known.select(
+        F.col("id").alias("hop"),
+        F.col("hop").alias("next_hop"),
+        F.col("depth").alias("next_depth"),
+        F.col("done").alias("next_done"),
+        *([F.col("path").alias("next_path")] if with_path else []),
+    )
+    columns = [
+        F.col("id"),
+        F.col("next_hop").alias("hop"),
+        (F.col("depth") + F.col("next_depth")).alias("depth"),
+        F.col("next_done").alias("done"),
+    ]
     if with_path:
-        state = state.withColumn("path", F.array("hop"))
-    return materialize(state, "thread-round", partition_by="done")
+        # The nearest ancestors are the last ones of the list.
+        path = F.concat("next_path", "path")
+        first = F.greatest(F.size(path) - max_path, F.lit(0)) + 1
+        columns.append(F.slice(path, first, max_path).alias("path"))
+    return live.join(ahead, "hop").select(*columns)
 
 
 def _resolve(edges: DataFrame, with_path: bool, max_path: int) -> tuple[DataFrame, DataFrame]:
     """Follow all hops to the end; returns the finished rows and those that never finish."""
-    current = _first_round(edges, with_path)
-    finished = current.where("done")
-    while True:
-        live = current.where("NOT done")
-        if live.isEmpty():
-            break
-        # Every live hop is a child itself, so the inner join finds exactly one partner and AQE may
-        # broadcast either side once it is small, or split a popular hop.
-        ahead = finished.unionByName(live).select(
-            F.col("id").alias("hop"),
-            F.col("hop").alias("next_hop"),
-            F.col("depth").alias("next_depth"),
-            F.col("done").alias("next_done"),
-            *([F.col("path").alias("next_path")] if with_path else []),
-        )
-        columns = [
-            F.col("id"),
-            F.col("next_hop").alias("hop"),
-            (F.col("depth") + F.col("next_depth")).alias("depth"),
-            F.col("next_done").alias("done"),
-        ]
-        if with_path:
-            # The nearest ancestors are the last ones of the list.
-            path = F.concat("next_path", "path")
-            columns.append(F.slice(path, F.greatest(F.size(path) - max_path, F.lit(0)) + 1, max_path).alias("path"))
-        step = materialize(live.join(ahead, "hop").select(*columns), "thread-round", partition_by="done")
-        new = step.where("done")
+    finished, live, _, left = _write_round(_first_round(edges, with_path))
+    while left:
+        step = _next_round(live, finished.unionByName(live), with_path, max_path)
+        new, live, found, left = _write_round(step)
+        finished = finished.unionByName(new)
         # Depths along a thread have no gaps: a round that finishes nobody leaves only cycles and
         # the nodes that hang off them.
-        stuck = new.isEmpty()
-        current = step
-        if stuck:
+        if not found:
             break
-        finished = finished.unionByName(new)
-    return finished, current.where("NOT done")
+    return finished, live
 
 
 def _with_roots(edges: DataFrame, finished: DataFrame, columns: dict) -> DataFrame:
