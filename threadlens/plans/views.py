@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("orders", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TABLES = ("orders", "events", "part", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
     "thread_items": """
@@ -27,6 +27,11 @@ VIEWS = {
         SELECT event_id+1 AS id,
           lag(event_id+1) OVER (PARTITION BY user_id ORDER BY event_id) AS parent
         FROM {events}""",
+    "part_links": """
+        SELECT p_partkey AS id,
+          CASE WHEN p_size<=5 THEN NULL
+               ELSE (p_partkey*p_partkey)%(SELECT count(*) FROM {part})+1 END AS parent
+        FROM {part}""",
     "stories": """
         SELECT d.doc_id+1 AS id, d.text AS title,
           CASE WHEN d.doc_id%11=0 THEN 'poll' ELSE 'story' END AS type,
