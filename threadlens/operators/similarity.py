@@ -87,7 +87,10 @@ def write_index(df: DataFrame, planes: np.ndarray, path: str, partitioned: bool)
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
     """The bucketed rows and the planes they were hashed with (a few rows, one for each bit)."""
     config = spark.read.parquet(f"{path}/planes").orderBy("bit").collect()
-    rows = spark.read.parquet(f"{path}/rows").withColumn("bucket", F.col("bucket").cast("string"))
+    found = spark.read.parquet(f"{path}/rows").schema
+    # A folder name such as 00101 must stay text.
+    schema = T.StructType([T.StructField("bucket", T.StringType()) if f.name == "bucket" else f for f in found])
+    rows = spark.read.schema(schema).parquet(f"{path}/rows")
     return rows, np.array([r["plane"] for r in config])
 
 

@@ -1,7 +1,7 @@
 """Comment threads: edges, full ancestor paths, roots.
 
-Paths are built by doubling: after round r every node knows its nearest 2^r ancestors, so a thread
-of depth d needs about log2(d) joins.
+Paths are built by taking over the paths of known ancestors: after round r every node knows its
+nearest 4^r ancestors, so a thread of depth d needs about log4(d) rounds.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from threadlens.session import materialize
 
 MAX_PATH = 1000
+LOOKUPS_A_ROUND = 3
 
 
 class Threads(NamedTuple):
@@ -34,68 +35,72 @@ def thread_edges(items: DataFrame) -> DataFrame:
     return children.join(present, "parent", "left_semi").select("id", "parent")
 
 
-def _write_round(state: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
-    """Store one round; returns its finished and live rows and their counts."""
-    stored = materialize(state, "thread-round", partition_by="done")
-    # The flag is a partition column, so the counts come from file footers.
-    counts = {row["done"]: row["count"] for row in stored.groupBy("done").count().collect()}
-    return stored.where("done"), stored.where("NOT done"), counts.get(True, 0), counts.get(False, 0)
-
-
-def _first_round(edges: DataFrame, with_path: bool) -> DataFrame:
-    """One row a child: its parent is the first hop, finished when that parent is a root.
+def _links(edges: DataFrame, with_path: bool) -> DataFrame:
+    """One row a child, its parent as the first hop.
 
     Ids of zero or less are not usable as ancestors. A child named by several edges takes its
     smallest parent, so that reruns agree.
     """
     links = edges.where("parent > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("parent").alias("hop"))
-    links = materialize(links, "thread-links")
-    inner = links.select(F.col("id").alias("hop"), F.lit(True).alias("has_parent"))
-    state = links.join(inner, "hop", "left").select(
-        "id", "hop", F.lit(1).cast("bigint").alias("depth"), F.col("has_parent").isNull().alias("done")
-    )
-    return state.withColumn("path", F.array("hop")) if with_path else state
+    links = links.select("id", "hop", F.lit(1).cast("bigint").alias("depth"), F.lit(False).alias("done"))
+    return links.withColumn("path", F.array("hop")) if with_path else links
 
 
-def _next_round(live: DataFrame, known: DataFrame, with_path: bool, max_path: int) -> DataFrame:
-    """Every live row takes over the path of its hop.
-
-    A live hop is a child itself, so the inner join finds exactly one partner and AQE may broadcast
-    either side once it is small, or split a popular hop.
-    """
-    ahead = known.select(
-        F.col("id").alias("hop"),
+def _lookup(known: DataFrame, with_path: bool) -> DataFrame:
+    return known.where("id > 0").select(
+        F.col("id").alias("next_id"),
         F.col("hop").alias("next_hop"),
         F.col("depth").alias("next_depth"),
         F.col("done").alias("next_done"),
         *([F.col("path").alias("next_path")] if with_path else []),
     )
+
+
+def _advance(state: DataFrame, ahead: DataFrame, with_path: bool, max_path: int) -> DataFrame:
+    """Every live row takes over the path of its hop; a hop without a row is a root.
+
+    ``ahead`` has one row an id, so only the state side can be skewed (a popular hop), which AQE
+    splits. Finished rows look up a number of their own that nothing has, to stay spread out.
+    """
+    key = F.when(F.col("done"), -F.abs("id")).otherwise(F.col("hop"))
+    found = F.col("next_id").isNotNull()
     columns = [
         F.col("id"),
-        F.col("next_hop").alias("hop"),
-        (F.col("depth") + F.col("next_depth")).alias("depth"),
-        F.col("next_done").alias("done"),
+        F.coalesce("next_hop", "hop").alias("hop"),
+        (F.col("depth") + F.coalesce("next_depth", F.lit(0))).alias("depth"),
+        (F.col("done") | ~found | F.coalesce("next_done", F.lit(False))).alias("done"),
     ]
     if with_path:
         # The nearest ancestors are the last ones of the list.
         path = F.concat("next_path", "path")
         first = F.greatest(F.size(path) - max_path, F.lit(0)) + 1
-        columns.append(F.slice(path, first, max_path).alias("path"))
-    return live.join(ahead, "hop").select(*columns)
+        columns.append(F.when(found, F.slice(path, first, max_path)).otherwise(F.col("path")).alias("path"))
+    return state.join(ahead, key == F.col("next_id"), "left").select(*columns)
 
 
 def _resolve(edges: DataFrame, with_path: bool, max_path: int) -> tuple[DataFrame, DataFrame]:
-    """Follow all hops to the end; returns the finished rows and those that never finish."""
-    finished, live, _, left = _write_round(_first_round(edges, with_path))
-    while left:
-        step = _next_round(live, finished.unionByName(live), with_path, max_path)
-        new, live, found, left = _write_round(step)
-        finished = finished.unionByName(new)
+    """Follow all hops to the end; returns the finished rows and those that never finish.
+
+    A round makes three lookups in the same table, which multiplies the known ancestors by four
+    for one shuffle of that table. Each round is stored, so plans do not grow and lost executors
+    cost one round at most.
+    """
+    live = materialize(_links(edges, with_path), "thread-links")
+    finished = None
+    while True:
+        ahead = _lookup(live if finished is None else finished.unionByName(live), with_path)
+        state = live
+        for _ in range(LOOKUPS_A_ROUND):
+            state = _advance(state, ahead, with_path, max_path)
+        stored = materialize(state, "thread-round", partition_by="done")
+        # The flag is a partition column, so the counts come from file footers.
+        counts = {row["done"]: row["count"] for row in stored.groupBy("done").count().collect()}
+        new, live = stored.where("done"), stored.where("NOT done")
+        finished = new if finished is None else finished.unionByName(new)
         # Depths along a thread have no gaps: a round that finishes nobody leaves only cycles and
         # the nodes that hang off them.
-        if not found:
-            break
-    return finished, live
+        if not counts.get(False) or not counts.get(True):
+            return finished, live
 
 
 def _with_roots(edges: DataFrame, finished: DataFrame, columns: dict) -> DataFrame:

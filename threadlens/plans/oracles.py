@@ -54,8 +54,8 @@ def plain_text(html: str) -> str:
     return f"regexp_replace({t}, '^[ \\n]+|[ \\n]+$', '', 'g')"
 
 
-def fraction(key: str, seed: int = 1) -> str:
-    return f"CAST('0x'||substr(md5(concat_ws(':',{key},'{seed}')),1,8) AS BIGINT)/4294967296.0::DOUBLE"
+def fraction(use: str, key: str = "id", seed: int = 1) -> str:
+    return f"CAST('0x'||substr(md5(concat_ws(':',{key},'{use}','{seed}')),1,8) AS BIGINT)/4294967296.0::DOUBLE"
 
 
 def bucket(vec: str, bits: int) -> str:
@@ -162,7 +162,6 @@ def oracle_sql() -> dict[str, str]:
     norm = f"(sqrt(list_dot_product({double('a.vec')},{double('a.vec')}))*sqrt(list_dot_product({double('b.vec')},{double('b.vec')})))"
     both = lambda op: vec_text(f"list_transform(list_zip({double('a.vec')},{double('b.vec')}), lambda z: z[1]{op}z[2])")
     title = "translate(title, chr(10)||chr(9), '  ')"
-    half = f"{fraction('CAST(id AS VARCHAR)')}"
     return {
         "typed_items_table": with_views("raw_items", TYPED),
         "csv_ingest": with_views("raw_items", TYPED),
@@ -188,15 +187,15 @@ def oracle_sql() -> dict[str, str]:
         "label_commented": with_views("stories", "SELECT * FROM commented", COMMENTED),
         "class_counts": with_views("stories", "SELECT label, count(*) AS n FROM commented GROUP BY label", COMMENTED),
         "balanced_sample": with_views("stories", f"""SELECT id, label FROM commented JOIN sizes USING (label)
-            WHERE {half} < least(1.0::DOUBLE, (SELECT min(n) FROM sizes)/n::DOUBLE)""",
+            WHERE {fraction('class')} < least(1.0::DOUBLE, (SELECT min(n) FROM sizes)/n::DOUBLE)""",
             f"{COMMENTED}, sizes AS (SELECT label, count(*) AS n FROM commented GROUP BY label)"),
         "dead_sample": with_views("stories", f"""SELECT id, label FROM labelled JOIN sizes USING (label)
-            WHERE {half} < least(1.0::DOUBLE, 100/n::DOUBLE)""",
+            WHERE {fraction('class')} < least(1.0::DOUBLE, 100/n::DOUBLE)""",
             f"""labelled AS (SELECT id, CASE WHEN dead THEN 1 ELSE 0 END AS label FROM stories WHERE {SCORED}),
             sizes AS (SELECT label, count(*) AS n FROM labelled GROUP BY label)"""),
         "fixed_sample": with_views("thread_items", f"""SELECT * FROM comment_rows
-            ORDER BY md5(concat_ws(':',id,pos,'1')), id, pos LIMIT {SAMPLE_SIZE}""", SENTENCES),
-        "hash_split": with_views("stories", f"SELECT id, {half} < 0.7::DOUBLE AS is_train FROM stories"),
+            ORDER BY md5(concat_ws(':',id,pos,'fixed','1')), id, pos LIMIT {SAMPLE_SIZE}""", SENTENCES),
+        "hash_split": with_views("stories", f"SELECT id, {fraction('split')} < 0.7::DOUBLE AS is_train FROM stories"),
         "log_label": with_views("stories", f"""SELECT id, score, {micro('ln(score+1.0::DOUBLE)')} AS label_micro,
             {micro('exp(ln(score+1.0::DOUBLE))-1')} AS undone_micro FROM stories WHERE {SCORED}"""),
         "tokenized_documents": f"SELECT id, len(words) AS n, md5(array_to_string(words,' ')) AS digest FROM ({DOCUMENT_WORDS})",

@@ -12,8 +12,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Merge small shuffle partitions up to the advisory size rather than one a slot.
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     # Hot join keys (a popular thread, a frequent word) are split by AQE, also when that costs an
     # extra exchange further up.
     "spark.sql.adaptive.skewJoin.enabled": "true",
