@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import html_to_text, paragraphs, short_words, tokenize
@@ -27,9 +29,12 @@ def title_sentences(items: DataFrame, lower: bool = True) -> DataFrame:
 
 def comment_sentences(items: DataFrame, lower: bool = True) -> DataFrame:
     """``(id, pos, words)``, one sentence a paragraph; empty ones are dropped."""
-    lines = comments(items).select("id", F.posexplode(paragraphs(html_to_text(F.col("text")))).alias("pos", "line"))
-    words = short_words(tokenize(F.col("line"), lower))
-    return lines.select("id", "pos", words.alias("words")).where(F.size("words") > 0)
+    rows = F.transform(
+        paragraphs(html_to_text(F.col("text"))),
+        lambda line, pos: F.struct(pos.alias("pos"), short_words(tokenize(line, lower)).alias("words")),
+    )
+    found = comments(items).transform(each(rows, "row", "id"))
+    return found.select("id", "row.pos", "row.words").where(F.size("words") > 0)
 
 
 def sentences(items: DataFrame, lower: bool = True) -> DataFrame:
@@ -37,9 +42,18 @@ def sentences(items: DataFrame, lower: bool = True) -> DataFrame:
     return title_sentences(items, lower).unionByName(comment_sentences(items, lower))
 
 
+def each(values: Column, name: str, *keep: str | Column) -> Callable[[DataFrame], DataFrame]:
+    """One row an array element, for ``transform``.
+
+    The outer form spares the filter on the array's size that Spark would infer, which would
+    compute the whole array a second time.
+    """
+    return lambda df: df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def word_counts(df: DataFrame, words: str = "words") -> DataFrame:
     """``(word, n)``; partial aggregation reduces frequent words before the shuffle."""
-    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return df.transform(each(F.col(words), "word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def vocabulary(
@@ -53,7 +67,7 @@ def vocabulary(
 
 def document_frequencies(df: DataFrame, words: str = "words") -> DataFrame:
     return (
-        df.select(F.explode(F.array_distinct(words)).alias("word"))
+        df.transform(each(F.array_distinct(words), "word"))
         .groupBy("word")
         .agg(F.count("*").alias("df"))
     )

@@ -70,8 +70,8 @@ def _conversation_terms(spark, d) -> DataFrame:
     """Every conversation asks for the assistant's words and against all others."""
     talk = table(spark, d, "conversations")
     sign = F.when(F.col("role") == "assistant", 1).otherwise(-1)
-    return talk.select(
-        F.col("conv_id").alias("request_id"), F.explode(tokenize(F.col("text"))).alias("word"), sign.alias("sign")
+    return talk.transform(
+        corpus.each(tokenize(F.col("text")), "word", F.col("conv_id").alias("request_id"), sign.alias("sign"))
     )
 
 
@@ -394,7 +394,7 @@ def pretrained_overlay(spark, d):
     ranked = materialize(corpus.vocabulary(_documents(spark, d)), "vocabulary")
     given = table(spark, d, "embeddings").select(F.col("vec_id").alias("word_id"), F.col("embedding").alias("vec"))
     pretrained = ranked.join(given, "word_id").select("word", "vec")
-    rows = joins.overlay_pretrained(ranked, pretrained, EMBEDDING_DIM)
+    rows = joins.overlay_pretrained(spread(ranked, "word"), pretrained, EMBEDDING_DIM)
     return rows.select("word_id", "word", "pretrained", F.md5(vector_text(F.col("vec"))).alias("digest"))
 
 
@@ -526,7 +526,7 @@ def mean_doc_vectors(spark, d):
 
 def _paragraphs(spark, d) -> tuple[DataFrame, embeddings.ParagraphModel]:
     documents = materialize(_documents(spark, d), "words")
-    return documents, embeddings.train_paragraph_vectors(documents, min_count=2)
+    return documents, embeddings.train_paragraph_vectors(documents)
 
 
 @query
