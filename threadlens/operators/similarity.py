@@ -169,8 +169,7 @@ def _search_broadcast(requests: pa.Table, index: DataFrame, schema: T.StructType
 def _search_shuffled(requests: DataFrame, index: DataFrame, schema: T.StructType, k: int, dim: int) -> DataFrame:
     """Both sides are cut into blocks, so no task holds a whole bucket however hot it is.
 
-    Every request block of a bucket meets every index block of the same bucket. Bucket sizes are
-    two small aggregates, at most one row a bucket.
+    Every request block of a bucket meets every index block of the same bucket.
     """
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
@@ -178,6 +177,9 @@ def _search_shuffled(requests: DataFrame, index: DataFrame, schema: T.StructType
 
     sizes = blocks(requests, REQUEST_BLOCK, "request_blocks").join(blocks(index, INDEX_BLOCK, "index_blocks"), "bucket")
 
+    # One row a bucket, and there are at most 2^bits of them.
+    sizes = F.broadcast(sizes)
+
     def block_of(key: str, count: str):
         return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
 

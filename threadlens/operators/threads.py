@@ -27,11 +27,11 @@ class Threads(NamedTuple):
 def thread_edges(items: DataFrame) -> DataFrame:
     """``(id, parent)`` of every item whose parent is itself present.
 
-    A semi join keeps repeated parents from multiplying edges. Only one of a popular parent's
-    sides is large, so AQE can split its partition.
+    A semi join keeps repeated ids from multiplying edges, and ids are reduced to distinct ones
+    before their shuffle. A popular parent is then large on one side only, which AQE splits.
     """
     children = items.where("parent IS NOT NULL").select("id", "parent")
-    present = items.select(F.col("id").alias("parent"))
+    present = items.select(F.col("id").alias("parent")).distinct()
     return children.join(present, "parent", "left_semi").select("id", "parent")
 
 
@@ -78,15 +78,14 @@ def _advance(state: DataFrame, ahead: DataFrame, with_path: bool, max_path: int)
     return state.join(ahead, key == F.col("next_id"), "left").select(*columns)
 
 
-def _resolve(edges: DataFrame, with_path: bool, max_path: int) -> tuple[DataFrame, DataFrame]:
+def _resolve(links: DataFrame, with_path: bool, max_path: int) -> tuple[DataFrame, DataFrame]:
     """Follow all hops to the end; returns the finished rows and those that never finish.
 
     A round makes three lookups in the same table, which multiplies the known ancestors by four
     for one shuffle of that table. Each round is stored, so plans do not grow and lost executors
     cost one round at most.
     """
-    live = materialize(_links(edges, with_path), "thread-links")
-    finished = None
+    live, finished = links, None
     while True:
         ahead = _lookup(live if finished is None else finished.unionByName(live), with_path)
         state = live
@@ -103,12 +102,10 @@ def _resolve(edges: DataFrame, with_path: bool, max_path: int) -> tuple[DataFram
             return finished, live
 
 
-def _with_roots(edges: DataFrame, finished: DataFrame, columns: dict) -> DataFrame:
-    """Add the endpoints that have no usable parent."""
-    ends = edges.select("id").union(edges.select(F.col("parent").alias("id"))).distinct()
-    children = edges.where("parent > 0 AND id IS NOT NULL").select("id")
-    roots = ends.where("id IS NOT NULL").join(children, "id", "left_anti").select("id", *columns.values())
-    return finished.select("id", *columns.keys()).union(roots)
+def _roots(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """Ids of the endpoints without a usable parent; every other endpoint is in ``links``."""
+    ends = edges.select(F.col("parent").alias("id")).union(edges.where("parent <= 0").select("id"))
+    return ends.where("id IS NOT NULL").distinct().join(links.select("id"), "id", "left_anti")
 
 
 def thread_ancestors(edges: DataFrame, max_path: int = MAX_PATH) -> Threads:
@@ -116,22 +113,23 @@ def thread_ancestors(edges: DataFrame, max_path: int = MAX_PATH) -> Threads:
 
     Nodes deeper than ``max_path`` keep their nearest ancestors, and ``path[0]`` as their root.
     """
-    finished, endless = _resolve(edges, True, max_path)
-    finished = finished.withColumn("root", F.get("path", F.lit(0)))
-    nodes = _with_roots(edges, finished, {
-        "root": F.lit(None).cast("bigint").alias("root"),
-        "depth": F.lit(0).cast("bigint").alias("depth"),
-        "path": F.array().cast("array<bigint>").alias("path"),
-    })
+    links = materialize(_links(edges, True), "thread-links")
+    finished, endless = _resolve(links, True, max_path)
+    roots = _roots(edges, links).select(
+        "id",
+        F.lit(None).cast("bigint").alias("root"),
+        F.lit(0).cast("bigint").alias("depth"),
+        F.array().cast("array<bigint>").alias("path"),
+    )
+    nodes = finished.select("id", F.get("path", F.lit(0)).alias("root"), "depth", "path").union(roots)
     return Threads(nodes, endless.select("id"))
 
 
 def thread_roots(edges: DataFrame) -> Threads:
     """``(id, root, depth)`` without paths: the state stays four numbers wide at any depth."""
-    finished, endless = _resolve(edges, False, 0)
-    finished = finished.withColumnRenamed("hop", "root")
-    nodes = _with_roots(edges, finished, {
-        "root": F.lit(None).cast("bigint").alias("root"),
-        "depth": F.lit(0).cast("bigint").alias("depth"),
-    })
-    return Threads(nodes, endless.select("id"))
+    links = materialize(_links(edges, False), "thread-links")
+    finished, endless = _resolve(links, False, 0)
+    roots = _roots(edges, links).select(
+        "id", F.lit(None).cast("bigint").alias("root"), F.lit(0).cast("bigint").alias("depth")
+    )
+    return Threads(finished.select("id", F.col("hop").alias("root"), "depth").union(roots), endless.select("id"))

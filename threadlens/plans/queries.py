@@ -515,28 +515,27 @@ def class_report(spark, d):
 
 @query
 def word_vectors(spark, d):
-    return embeddings.word_vector_table(embeddings.train_word_vectors(materialize(_documents(spark, d), "words")))
+    return embeddings.word_vector_table(embeddings.train_word_vectors(_documents(spark, d)))
 
 
 @query
 def mean_doc_vectors(spark, d):
-    documents = materialize(_documents(spark, d), "words")
+    documents = _documents(spark, d)
     return embeddings.mean_word_vectors(embeddings.train_word_vectors(documents), documents)
 
 
-def _paragraphs(spark, d) -> tuple[DataFrame, embeddings.ParagraphModel]:
-    documents = materialize(_documents(spark, d), "words")
-    return documents, embeddings.train_paragraph_vectors(documents)
+def _paragraphs(spark, d) -> embeddings.ParagraphModel:
+    return embeddings.train_paragraph_vectors(_documents(spark, d))
 
 
 @query
 def paragraph_vectors(spark, d):
-    return _paragraphs(spark, d)[1].documents
+    return _paragraphs(spark, d).documents
 
 
 @query
 def infer_vectors(spark, d):
-    model = _paragraphs(spark, d)[1]
+    model = _paragraphs(spark, d)
     rows = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), tokenize(F.col("text")).alias("words"))
     return embeddings.infer_vectors(rows, model.words).select("id", "vec")
 
@@ -544,7 +543,7 @@ def infer_vectors(spark, d):
 @query
 def similar_titles(spark, d):
     """Titles like each benchmark passage, moved by its first and against its last word."""
-    model = _paragraphs(spark, d)[1]
+    model = _paragraphs(spark, d)
     tokens = tokenize(F.col("text"))
     requests = table(spark, d, "benchmark").select(
         F.col("item_id").alias("request_id"), F.col("text").alias("sentence"),
@@ -559,7 +558,7 @@ def similar_titles(spark, d):
 def score_titles(spark, d):
     """Three scores for each benchmark passage, from models trained on the stories."""
     stories = view(spark, d, "stories").withColumn("id", F.col("id") - 1)
-    model = _paragraphs(spark, d)[1]
+    model = _paragraphs(spark, d)
     models = scoring.ScoreModels(
         forests.tfidf_forest(_story_words(spark, d)).model,
         forests.score_log_forest(stories, model.documents).model,

@@ -56,7 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/threadlens/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; one application's paths lie together and can go together."""
+    return f"{shared_dir(spark)}/threadlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
