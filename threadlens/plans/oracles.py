@@ -126,7 +126,7 @@ ANALOGY = f"""terms AS (SELECT conv_id AS request_id, unnest({tokens('text')}) A
  uses AS (SELECT request_id, sum(uses) AS known FROM known GROUP BY request_id)"""
 
 SENTENCES = f"""lines AS (SELECT id, unnest(list_filter(string_split({plain_text('text')}, chr(10)), lambda s: s <> '')) AS line,
-    generate_subscripts(list_filter(string_split({plain_text('text')}, chr(10)), lambda s: s <> ''), 1)-1 AS pos
+    CAST(generate_subscripts(list_filter(string_split({plain_text('text')}, chr(10)), lambda s: s <> ''), 1)-1 AS INT) AS pos
     FROM thread_items WHERE type='comment' AND text IS NOT NULL),
  split AS (SELECT id, pos, list_filter({tokens('line')}, lambda w: length(w)<50) AS words FROM lines),
  comment_rows AS (SELECT id, pos, array_to_string(words,' ') AS sentence FROM split WHERE len(words)>0),
@@ -142,7 +142,7 @@ def knn(bits: int | None) -> str:
     """The k nearest vectors of every centroid, within its bucket when there are any bits."""
     where = "" if bits is None else f"WHERE {bucket('c.vec', bits)} = {bucket('CAST(v.vec AS DOUBLE[])', bits)}"
     return with_views("vectors", f"""
-      SELECT request_id, rank, id, {micro('distance')} AS distance_micro FROM (
+      SELECT request_id, CAST(rank AS INT) AS rank, id, {micro('distance')} AS distance_micro FROM (
         SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, id) AS rank FROM (
           SELECT c.request_id, v.id, round(1-list_dot_product(c.vec, CAST(v.vec AS DOUBLE[])),9) AS distance
           FROM centroids c, vectors v {where})) WHERE rank<={DEFAULT_K}""", CENTROIDS)
@@ -229,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
             stored AS (SELECT word, vec, {bucket('CAST(vec AS DOUBLE[])', WORD_BITS)} AS bucket FROM words),
             found AS (SELECT request_id, word, s.vec, round(1-list_dot_product(a.vec, CAST(s.vec AS DOUBLE[])),9) AS distance
                 FROM asked a JOIN stored s USING (bucket))
-            SELECT request_id, rank, word, {micro('1-distance')} AS sim_micro, {vec_text('vec')} AS vec FROM
+            SELECT request_id, CAST(rank AS INT) AS rank, word, {micro('1-distance')} AS sim_micro, {vec_text('vec')} AS vec FROM
                 (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, word) AS rank FROM found) WHERE rank<={DEFAULT_K}""",
         "mse_metric": """SELECT count(*) AS n, round(avg(pow(o_totalprice-(150000.0::DOUBLE+o_custkey%1000),2)),2) AS mse FROM orders""",
         "error_rates": """SELECT round(count(*) FILTER (quality=0 AND toxic<>0)/nullif(count(*) FILTER (quality=0),0)::DOUBLE,6) AS false_positive,
