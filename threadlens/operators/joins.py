@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.vector import concat_vectors, seeded_vector
+from threadlens.session import materialize
 
 
 def join_vectors(items: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
@@ -42,5 +43,11 @@ def overlay_pretrained(vocabulary: DataFrame, pretrained: DataFrame, dim: int, s
 
 
 def attach_titles(results: DataFrame, titles: DataFrame) -> DataFrame:
-    """Titles for the ids of a result; an unknown id keeps its row."""
-    return results.join(titles.select("id", "title"), "id", "left")
+    """Titles for the ids of a result; an unknown id keeps its row.
+
+    The title table is first cut down to the ids found, so that a small result shuffles nothing of it.
+    """
+    results = materialize(results, "results")
+    wanted = results.select("id").distinct()
+    known = titles.select("id", "title").join(wanted, "id", "left_semi")
+    return results.join(known, "id", "left")

@@ -61,9 +61,11 @@ def with_bucket(df: DataFrame, planes: np.ndarray, vec: str = "vec") -> DataFram
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(vec)
-            signs = matrix(column, dim) @ planes.T > 0
-            text = iter("".join("1" if s else "0" for s in row) for row in signs)
-            bucket = pa.array([next(text) if ok else None for ok in column.is_valid().to_pylist()], pa.string())
+            codes, rows = np.unique(matrix(column, dim) @ planes.T > 0, axis=0, return_inverse=True)
+            names = np.array(["".join("1" if bit else "0" for bit in code) for code in codes], dtype=object)
+            text = np.full(len(column), None, dtype=object)
+            text[column.is_valid().to_numpy(zero_copy_only=False)] = names[rows.reshape(-1)] if len(names) else []
+            bucket = pa.array(text, pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, bucket], names=[*batch.schema.names, "bucket"])
 
     return df.mapInArrow(assign, T.StructType([*df.schema.fields, T.StructField("bucket", T.StringType())]))
@@ -248,5 +250,10 @@ def nearest_exact(requests: DataFrame, index: DataFrame, k: int = DEFAULT_K, **o
 
 
 def with_results(neighbours: DataFrame, index: DataFrame, columns: list[str]) -> DataFrame:
-    """Similarity instead of distance, and columns of the index rows that were found."""
-    return neighbours.withColumn("sim", similarity(F.col("distance"))).join(index.select("id", *columns), "id", "left")
+    """Similarity instead of distance, and columns of the index rows that were found.
+
+    The result is stored first: when it is small, its known size lets Spark broadcast it instead
+    of shuffling the index.
+    """
+    found = materialize(neighbours, "neighbours")
+    return found.withColumn("sim", similarity(F.col("distance"))).join(index.select("id", *columns), "id")

@@ -73,8 +73,9 @@ def _advance(state: DataFrame, ahead: DataFrame, with_path: bool, max_path: int)
     if with_path:
         # The nearest ancestors are the last ones of the list.
         path = F.concat("next_path", "path")
-        first = F.greatest(F.size(path) - max_path, F.lit(0)) + 1
-        columns.append(F.when(found, F.slice(path, first, max_path)).otherwise(F.col("path")).alias("path"))
+        surplus = F.size("next_path") + F.size("path") - max_path
+        path = F.when(surplus > 0, F.slice(path, surplus + 1, max_path)).otherwise(path)
+        columns.append(F.when(found, path).otherwise(F.col("path")).alias("path"))
     return state.join(ahead, key == F.col("next_id"), "left").select(*columns)
 
 
