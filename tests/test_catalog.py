@@ -37,6 +37,8 @@ def test_every_counterpart_has_a_query():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, sf_dir, name):
     found = QUERIES[name](spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     wanted = duck.sql(ORACLES[name])
     columns = sorted(found.columns)
     assert columns == sorted(wanted.columns)

@@ -93,13 +93,12 @@ def _resolve(links: DataFrame, with_path: bool, max_path: int) -> tuple[DataFram
         for _ in range(LOOKUPS_A_ROUND):
             state = _advance(state, ahead, with_path, max_path)
         stored = materialize(state, "thread-round", partition_by="done")
-        # The flag is a partition column, so the counts come from file footers.
-        counts = {row["done"]: row["count"] for row in stored.groupBy("done").count().collect()}
         new, live = stored.where("done"), stored.where("NOT done")
         finished = new if finished is None else finished.unionByName(new)
-        # Depths along a thread have no gaps: a round that finishes nobody leaves only cycles and
-        # the nodes that hang off them.
-        if not counts.get(False) or not counts.get(True):
+        # The flag is a partition column: an empty side has no files to look into. Depths along a
+        # thread have no gaps, so a round that finishes nobody leaves only cycles and the nodes
+        # that hang off them.
+        if live.isEmpty() or new.isEmpty():
             return finished, live
 
 
