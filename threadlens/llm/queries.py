@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlens.llm import order_minhash, packing, token_files, url_filter
+from threadlens.llm import order_minhash, packing, simhash, token_files, url_filter
 from threadlens.llm.common import prepared, table
 
 QUERIES: dict = {}
@@ -30,6 +30,11 @@ def op7_best_fit_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
 
+@query
+def op8_simhash_near_dedup(spark, d):
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
 @query
 def op9_order_minhash(spark, d):
     return order_minhash.edited_fingerprints(table(spark, d, "documents"))

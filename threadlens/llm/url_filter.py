@@ -71,19 +71,19 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return chosen
 
 
-def _shrunk(counts: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
-    """``counts`` (key, parent, n, good) with the posterior ``rate`` and ``strength`` of each key; none labelled: the prior.
+def _shrunk(counts: DataFrame, above: Column) -> DataFrame:
+    """``counts`` (key, n, good, ...) with the posterior ``rate`` and ``strength`` of each key; none labelled: the prior.
 
-    With rates p of n pages around the parents' m, the sum of n (p - m)^2 is expected to be the sum of
-    m (1 - m) (1 + (n - 1) scatter); the prior's strength is 1 / scatter - 1.
+    With rates p of n pages around the rates m above, the sum of n (p - m)^2 is expected to be the sum of
+    m (1 - m) (1 + (n - 1) scatter); the prior's strength is 1 / scatter - 1. One row reaches the driver.
     """
-    rows = counts.join(parents.select(parent, F.col("rate").alias("m")), parent)
+    rows = counts.withColumn("m", above)
     n, good, m = F.col("n"), F.col("good"), F.col("m")
     noise = F.when(n > 0, m * (1 - m))
     off = F.when(n > 0, good / n - m)
-    more, weight = F.sum(n * off * off) - F.sum(noise), F.sum((n - 1) * noise)
-    scatter = F.least(F.greatest(F.when(weight > 0, more / weight).otherwise(SCATTER[0]), F.lit(SCATTER[0])), F.lit(SCATTER[1]))
-    prior = rows.agg((1 / scatter - 1).alias("prior")).scalar()
+    more, weight = rows.agg(F.sum(n * off * off) - F.sum(noise), F.sum((n - 1) * noise)).first()
+    scatter = min(max(more / weight if weight else SCATTER[0], SCATTER[0]), SCATTER[1])
+    prior = F.lit(1 / scatter - 1)
     return rows.withColumn("rate", (prior * m + good) / (prior + n)).withColumn("strength", prior + n).drop("m")
 
 
@@ -92,11 +92,13 @@ def reputation(hosts: DataFrame) -> DataFrame:
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
     hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums).withColumn("all", F.lit(1))
-    whole = suffixes.groupBy("all").agg(*sums)
-    whole = whole.withColumn("rate", F.when(F.col("n") > 0, F.col("good") / F.col("n")).otherwise(1.0))
-    by_domain = _shrunk(domains, _shrunk(suffixes, whole, "all"), "suffix")
-    return _shrunk(hosts, by_domain, "domain")
+    suffixes = domains.groupBy("suffix").agg(*sums)
+    n, good = suffixes.agg(F.sum("n"), F.sum("good")).first()
+    by_suffix = _shrunk(suffixes, F.lit(good / n if n else 1.0))
+    known = by_suffix.select("suffix", F.col("rate").alias("above"))
+    by_domain = _shrunk(domains.join(known, "suffix"), F.col("above"))
+    known = by_domain.select("domain", F.col("rate").alias("above"))
+    return _shrunk(hosts.join(known, "domain"), F.col("above"))
 
 
 def surely_poor(rate: Column, strength: Column, bound: float = BOUND, least: float = LEAST_GOOD) -> Column:
