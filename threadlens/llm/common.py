@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +34,30 @@ def texts(df: DataFrame) -> Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 
 
-def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Map every Arrow batch by ``function``."""
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object with its class, as executors need not have this package; read it with ``shipped``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(broadcast: Broadcast) -> object:
+    return cloudpickle.loads(broadcast.value)
+
+
+def labelled_sample(labels: DataFrame, label: str, kept: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """``(doc_id, label)`` of at most ``per_class`` labelled rows of each class, those with the smallest hashes,
+    and how many rows of each class there are in all. ``kept`` says which ids may be learned from.
+
+    Ids with contradicting labels count as the smaller one. The sample's size is bounded by the parameter.
+    """
+    rows = labels.where(kept & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = [rows.where(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
+    return some[0].union(some[1]), {c: counts.get(c, 0) for c in (0, 1)}
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
 
-    return df.mapInArrow(task, schema)
+def texts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``(doc_id, label, text)`` of a bounded sample: its ids go to where the texts lie. Repeated rows count once."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), texts(docs).alias("text"))
+    return rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])

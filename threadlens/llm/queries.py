@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlens.llm import order_minhash, packing, simhash, token_files, url_filter
+from threadlens.llm import order_minhash, packing, quality, simhash, token_files, toxicity, url_filter
 from threadlens.llm.common import prepared, table
 
 QUERIES: dict = {}
@@ -20,11 +20,22 @@ def query(function):
     return run
 
 
+@query
+def op1_toxicity(spark, d):
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op3_token_files(spark, d):
     return token_files.token_files(table(spark, d, "documents"))
 
 
+@query
+def op6_quality_classifier(spark, d):
+    scored = quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op7_best_fit_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
