@@ -42,8 +42,8 @@ from threadlens.session import materialize, scratch_path
 MAGIC = b"PFORIDS1"
 BLOCK = 1024
 WORD = 64
-HEADER = struct.Struct("<IHHB7x")
-TRAILER = struct.Struct("<QQQ8s")
+HEADER = "<IHHB7x"
+TRAILER = "<QQQ8s"
 
 END_ID = 0
 PERCENTILE = 90  # of a block's differences; decides its width
@@ -113,14 +113,14 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes
     for row in range(count):
         places = np.flatnonzero(over[row, : sizes[row]])
         tail = places.astype("<u2").tobytes() + rest[row, places].astype("<u4").tobytes()
-        head = HEADER.pack(int(least[row]), int(sizes[row]), len(places), int(widths[row]))
+        head = struct.pack(HEADER, int(least[row]), int(sizes[row]), len(places), int(widths[row]))
         blocks.append(head + packed[row] + tail + bytes(-len(tail) % 8))
     return blocks
 
 
 def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     """The ids of the blocks that start at ``starts`` inside ``data``."""
-    heads = [HEADER.unpack_from(data, int(s)) for s in starts]
+    heads = [struct.unpack_from(HEADER, data, int(s)) for s in starts]
     out = [np.empty(0, dtype=np.uint32)] * len(heads)
     by_width: dict[int, list[int]] = {}
     for i, (_, _, _, width) in enumerate(heads):
@@ -129,7 +129,7 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
         rows = [-(-heads[i][1] // WORD) for i in members]
         if width:
             lines = [
-                np.frombuffer(data, "<u8", r * width, int(starts[i]) + HEADER.size) for i, r in zip(members, rows)
+                np.frombuffer(data, "<u8", r * width, int(starts[i]) + struct.calcsize(HEADER)) for i, r in zip(members, rows)
             ]
             low = unpack(np.concatenate(lines).reshape(-1, width), width)
         else:
@@ -140,7 +140,7 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
             ids = low[at : at + r].reshape(-1)[:size].copy()
             at += r
             if exceptions:
-                place = int(starts[i]) + HEADER.size + r * width * 8
+                place = int(starts[i]) + struct.calcsize(HEADER) + r * width * 8
                 places = np.frombuffer(data, "<u2", exceptions, place)
                 ids[places] = np.frombuffer(data, "<u4", exceptions, place + 2 * exceptions)
             out[i] = ids + np.uint32(least)
@@ -201,7 +201,7 @@ class FileWriter:
         docs = np.array([d for d, _, _ in self.docs], dtype="<i8").tobytes()
         nulls = np.array([n for _, n, _ in self.docs], dtype="u1").tobytes()
         sizes = np.array([n for _, _, n in self.docs], dtype="<u8").tobytes()
-        tail = index + docs + nulls + sizes + TRAILER.pack(len(self.starts), len(self.docs), self.at, MAGIC)
+        tail = index + docs + nulls + sizes + struct.pack(TRAILER, len(self.starts), len(self.docs), self.at, MAGIC)
         self.out.write(tail)
         self.out.close()
         return self.path, len(self.docs), self.n_ids, len(self.starts), self.at + len(tail)
@@ -214,10 +214,11 @@ class FileReader:
         files, place = _open(path)
         self.file = files.open_input_file(place)
         size = self.file.size()
-        n_blocks, n_docs, at, magic = TRAILER.unpack(self.file.read_at(TRAILER.size, size - TRAILER.size))
+        end = size - struct.calcsize(TRAILER)
+        n_blocks, n_docs, at, magic = struct.unpack(TRAILER, self.file.read_at(size - end, end))
         if magic != MAGIC or self.file.read_at(len(MAGIC), 0) != MAGIC:
             raise ValueError(f"{path} holds no token ids")
-        index = self.file.read_at(size - TRAILER.size - at, at)
+        index = self.file.read_at(end - at, at)
         self.starts = np.append(np.frombuffer(index, "<u8", n_blocks), at).astype(np.int64)
         self.doc_ids = np.frombuffer(index, "<i8", n_docs, 8 * n_blocks)
         self.null_ids = np.frombuffer(index, "u1", n_docs, 8 * (n_blocks + n_docs)).astype(bool)
@@ -269,10 +270,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 writer.add(doc_id, ids + end)
         if writer:
             closed.append((part, number, *writer.close()))
-        names = [f.split(" ")[0] for f in MANIFEST.split(", ")]
         if closed:
-            table = pa.table(list(map(list, zip(*closed))), names=names)
-            yield from table.cast(pa.schema([(n, pa.int32() if n in ("part", "number") else pa.string() if n == "path" else pa.int64()) for n in names])).to_batches()
+            kinds = {"int": pa.int32(), "string": pa.string(), "long": pa.int64()}
+            fields = [f.split(" ") for f in MANIFEST.split(", ")]
+            columns = [pa.array(column, kinds[kind]) for column, (_, kind) in zip(zip(*closed), fields)]
+            yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
     return materialize(ordered.mapInArrow(task, MANIFEST), "token-files")
 
