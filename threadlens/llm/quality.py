@@ -28,7 +28,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import fold, labelled_sample, prepared, ship, shipped, texts, texts_of
@@ -188,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return Model(cuts.reshape(-1, BINS - 1), float(bias[0]), linear, factors.reshape(-1, FACTORS))
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """``docs`` with ``held_out``, ``score`` and ``predicted`` added; ``text`` stays whole."""
+def score_column(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Column:
+    """The score of each text as a column of ``docs``; fits the model."""
     spark = prepared(docs.sparkSession)
     model = ship(spark, fit(docs, labels, per_class))
 
@@ -199,6 +199,18 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> D
         for batch in batches:
             yield batch.map(lambda text: own.score(text) if own else 0.5)
 
-    score = scores(texts(docs))
-    out = docs.withColumn("held_out", fold(docs["doc_id"], FOLDS) == HELD_OUT).withColumn("score", score)
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return scores(texts(docs))
+
+
+def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)``, a row a document."""
+    scored = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), (fold(docs["doc_id"], FOLDS) == HELD_OUT).alias("held_out"),
+        score_column(docs, labels, per_class).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; all columns stay."""
+    return docs.where(score_column(docs, labels, per_class) >= THRESHOLD)

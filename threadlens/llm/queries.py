@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlens.llm import order_minhash, packing, quality, simhash, token_files, toxicity, url_filter
+from threadlens.llm import decontamination, order_minhash, packing, quality, simhash, suffix_dedup, token_files, token_rollup, toxicity, url_filter
 from threadlens.llm.common import prepared, table
 
 QUERIES: dict = {}
@@ -25,15 +25,30 @@ def op1_toxicity(spark, d):
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query
+def op2_suffix_array_dedup(spark, d):
+    return suffix_dedup.repeat_digests(table(spark, d, "documents"))
+
+
 @query
 def op3_token_files(spark, d):
     return token_files.token_files(table(spark, d, "documents"))
 
 
+@query
+def op4_token_counts(spark, d):
+    return token_rollup.maintained_counts(table(spark, d, "documents"))
+
+
+@query
+def op5_benchmark_decontamination(spark, d):
+    found = decontamination.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.drop("row_key")
+
+
 @query
 def op6_quality_classifier(spark, d):
-    scored = quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted")
+    return quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
 @query

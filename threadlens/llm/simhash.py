@@ -77,16 +77,16 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``; fp is the fingerprint as a signed long."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), texts(docs).cast("binary").alias("text"))
+    """``(doc_id, fp, hash)``; fp is the fingerprint as a signed long, hash one of the text."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), texts(docs).cast("binary").alias("text"), F.xxhash64(texts(docs)).alias("hash"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
             fps = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), batch.column("hash")], names=["doc_id", "fp", "hash"])
 
-    return rows.mapInArrow(task, "doc_id long, fp long")
+    return rows.mapInArrow(task, "doc_id long, fp long, hash long")
 
 
 # --- plan -----------------------------------------------------------------------------------------
@@ -290,14 +290,30 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, plan:
     return rows.mapInArrow(task, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, a row a document."""
-    prepared(docs.sparkSession)
-    stored = materialize(fingerprints(docs, shingle), "fingerprints")
+def _components(stored: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """``(fp, root, component_id)`` of every fingerprint in ``stored`` (doc_id, fp, ...)."""
     classes = materialize(stored.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(links(classes, distance, bucket))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classed = named.join(least, "root").select("fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)``, a row a document."""
+    prepared(docs.sparkSession)
+    stored = materialize(fingerprints(docs, shingle).drop("hash"), "fingerprints")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return stored.join(classed, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return stored.join(_components(stored, distance, bucket), "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """One row of ``docs`` for each component, that with the smallest id (null ids last; of equal ids, the smallest hash of
+    the text; of equal rows, any); all columns stay."""
+    prepared(docs.sparkSession)
+    keys = docs.withColumns({"_id": docs["doc_id"].cast("long"), "_hash": F.xxhash64(texts(docs))})
+    stored = materialize(fingerprints(docs, shingle), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")).alias("key")
+    kept = stored.join(_components(stored, distance, bucket), "fp").groupBy("root").agg(least).select("key.doc_id", "key.hash")
+    found = keys.join(kept, keys["_id"].eqNullSafe(kept["doc_id"]) & (keys["_hash"] == kept["hash"]), "left_semi")
+    return found.dropDuplicates(["_id", "_hash"]).select(*[f"`{c}`" for c in docs.columns])
