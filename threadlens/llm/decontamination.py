@@ -6,8 +6,8 @@ sentence or line. Every run of WINDOW tokens is a template window, and windows o
 benchmark items are hash-joined.
 
 Matches that lie on one diagonal (same distance between the places in document and item) are one reading
-of the item in the document. Its slots must be consistent: over the whole reading, one value of the item
-stands for one value of the document, and the other way round, so a question with other numbers and names
+of the item in the document. Its slots, the item's placeholders and capitalised words, must be consistent: over the
+whole reading, one value of the item stands for one value of the document, and the other way round, so a question with other numbers and names
 is caught, and a text that only has numbers at the same places is not. An item is found in a document if
 windows of consistent readings cover at least COVERED of the item's windows.
 
@@ -55,7 +55,7 @@ SPELLED = frozenset(
 WORD, SLOT, NAME = 0, 1, 2  # kinds of a token: itself, a placeholder, a placeholder inside a sentence
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-MATCHES = "doc_id long, row_key long, hash long, place int, slots array<struct<at:int,value:string>>"
+MATCHES = "doc_id long, row_key long, hash long, place int, words array<string>, slots array<int>"
 
 
 def _hash(token: str) -> int:
@@ -95,7 +95,7 @@ class Tokens:
         return bool(self.kinds[self.known[raw]] == NAME)
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Codes, whether each token is a placeholder, and the words; words made of marks only are left out."""
+        """Codes, whether each token is a slot, and the words; words made of marks only are left out."""
         raw, starts = [], []
         for line in text.split("\n"):
             starts.append(len(raw))
@@ -119,8 +119,8 @@ class Tokens:
         codes = np.where(names, self.name, codes)
         some = codes != 0
         if some.all():
-            return codes, (kinds == SLOT) | names, raw
-        return codes[some], ((kinds == SLOT) | names)[some], [w for w, s in zip(raw, some.tolist()) if s]
+            return codes, kinds != WORD, raw
+        return codes[some], (kinds != WORD)[some], [w for w, s in zip(raw, some.tolist()) if s]
 
 
 def window_hashes(codes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -137,14 +137,15 @@ def window_hashes(codes: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def _windows(rows: DataFrame, window: int, wanted: np.ndarray | None, either: bool = False) -> DataFrame:
-    """``(doc_id, row_key, hash, place, slots)`` of all windows, or of those whose hash is in the sorted ``wanted``.
+    """``(doc_id, row_key, hash, place, words, slots)`` of all windows, or of those whose hash is in the sorted ``wanted``.
 
     With ``either``, a capitalised first word is given both as itself and as a name: inside a document the text may
     follow a word that ends no sentence.
     """
 
-    def values(raw: list[str], slots: np.ndarray, p: int) -> list[dict]:
-        return [{"at": j, "value": raw[p + j].strip(MARKS).lower()} for j in range(min(window, len(raw) - p)) if slots[p + j]]
+    def match(slots: np.ndarray, raw: list[str], p: int) -> tuple[int, list[str], list[int]]:
+        own = raw[p : p + window]
+        return p, [w.strip(MARKS).lower() for w in own], [j for j in range(len(own)) if slots[p + j]]
 
     small = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
 
@@ -166,15 +167,14 @@ def _windows(rows: DataFrame, window: int, wanted: np.ndarray | None, either: bo
                         at = np.minimum(np.searchsorted(hashes, own[places]), len(hashes) - 1)
                         places = places[hashes[at] == own[places]] if len(hashes) else places[:0]
                 for p in places.tolist():
-                    out.append((doc_id, key, int(own[p]), p, values(raw, slots, p)))
+                    out.append((doc_id, key, int(own[p]), *match(slots, raw, p)))
                 if either and len(own) and tokens.known_name(raw[0]):
-                    codes[0], slots[0] = tokens.name, True
-                    out.append((doc_id, key, int(window_hashes(codes[:window], window)[0]), 0, values(raw, slots, 0)))
+                    codes[0] = tokens.name
+                    out.append((doc_id, key, int(window_hashes(codes[:window], window)[0]), *match(slots, raw, 0)))
             if out:
-                slot = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), slot]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
                 columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "hash", "place", "slots"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "hash", "place", "words", "slots"])
 
     return rows.mapInArrow(task, MATCHES)
 
@@ -188,13 +188,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED, broadcast: int = BROADCAST) -> DataFrame:
     """``(doc_id, row_key, item_id, n_windows, n_found, coverage, n_slots, n_changed)``: items found in documents.
 
-    ``n_slots`` is the most placeholders of one reading, ``n_changed`` how many of them have another value than in the item.
+    ``n_slots`` is the most slots of one reading, ``n_changed`` how many of them have another value than in the item.
     """
     prepared(docs.sparkSession)
     items = benchmark.select(benchmark["item_id"].cast("long").alias("doc_id"), F.xxhash64(texts(benchmark)).alias("row_key"), texts(benchmark).alias("text"))
     items = items.dropDuplicates(["doc_id", "row_key"])
     parts = _windows(items, window, None, either=True).select(
-        F.col("doc_id").alias("item_id"), F.col("row_key").alias("item_key"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")
+        F.col("doc_id").alias("item_id"), F.col("row_key").alias("item_key"), "hash", F.col("place").alias("item_place"), F.col("words").alias("item_words"), F.col("slots").alias("item_slots")
     )
     parts = materialize(parts, "benchmark")
     counts = parts.groupBy(F.col("item_id").alias("i"), F.col("item_key").alias("ik")).agg(F.countDistinct("item_place").alias("n_windows"))
@@ -202,8 +202,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered:
     wanted = np.array(sorted(r[0] for r in parts.select("hash").distinct().collect()), dtype=np.int64) if few else None
     found = _windows(keyed(docs), window, wanted)
     found = found.join(F.broadcast(parts) if few else parts, "hash")
-    # The same slots lie on both sides, as their placeholders are equal.
-    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct((F.col("item_place") + a["at"]).alias("at"), a["value"].alias("item"), b["value"].alias("doc")))
+    pairs = F.transform("item_slots", lambda j: F.struct((F.col("item_place") + j).alias("at"), F.get("item_words", j).alias("item"), F.get("words", j).alias("doc")))
     reading = ["doc_id", "row_key", "item_id", "item_key", (F.col("place") - F.col("item_place")).alias("diagonal")]
     # One reading has at most as many rows as its item has windows.
     readings = found.groupBy(*reading).agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))

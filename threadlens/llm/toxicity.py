@@ -40,9 +40,9 @@ from threadlens.llm.common import fold, labelled_sample, prepared, ship, shipped
 PER_CLASS = 4_000  # labelled rows of each class in the index
 TERMS = 4_096
 STEMS = (4, 5, 6)
-LEAST_CHI = 24.0
+LEAST_CHI = 30.0
 LEAST_SHARE = 0.016
-LEAST_ROWS = 4
+LEAST_ROWS = 5
 NEIGHBOURS = 15
 BLOCK = 64  # examples
 THRESHOLD = 0.5
