@@ -45,6 +45,20 @@ def _splits_bytewise(path: str) -> bool:
     )
 
 
+class _Chunks(dict):
+    """Ids of chunks; one that is not known is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(chunk)
+        if len(chunk) <= CACHED_LENGTH:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, no special tokens added.
 
@@ -60,33 +74,23 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.split = re.compile(CHUNK).findall
-        self.cache: dict[str, bytes] = {}
+        self.known = _Chunks(self._whole)
 
-    def _raw(self, parts: list[str]) -> Iterator[bytes]:
-        for done in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False):
-            ids = array("I", done.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            yield ids.tobytes()
+    def _whole(self, text: str) -> bytes:
+        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """One byte string a text, in order."""
         for text in texts:
             if not self.chunked or (self.special and self.special.search(text)):
-                yield next(self._raw([text]))
+                yield self._whole(text)
                 continue
-            chunks = self.split(text)
-            cache = self.cache
-            missing = [c for c in set(chunks) if c not in cache]
-            if missing:
-                if len(cache) + len(missing) > CACHED_CHUNKS:
-                    cache.clear()
-                    missing = list(set(chunks))
-                found = dict(zip(missing, self._raw(missing)))
-                cache.update((c, ids) for c, ids in found.items() if len(c) <= CACHED_LENGTH)
-                yield b"".join([cache.get(c) or found[c] for c in chunks])
-            else:
-                yield b"".join(map(cache.__getitem__, chunks))
+            if len(self.known) > CACHED_CHUNKS:
+                self.known.clear()
+            yield b"".join(map(self.known.__getitem__, self.split(text)))
 
 
 def encoder(path: str) -> Encoder:
