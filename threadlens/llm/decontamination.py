@@ -41,7 +41,9 @@ BITMAP = 22  # bits of the first look-up
 
 MARKS = ".,;:!?\"'()[]{}<>|*#_~`"
 ENDS = ".:!?"
+OTHER_MARKS = "".join(c for c in MARKS if c not in ENDS)
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
+DIGITS = frozenset("0123456789+-$€£")
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t oz lb lbs ml l gal s sec min h hr hrs ms hz khz mhz ghz w kw mw v kv a j kj cal kcal pa kpa bar k c f °c °f "
     "meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters mile miles foot feet inch inches yard yards "
@@ -77,18 +79,18 @@ class Tokens:
     def _learn(self, raw: str) -> int:
         core = raw.strip(MARKS)
         low = core.lower()
-        if NUMBER.fullmatch(core) or low in SPELLED:
+        if core[:1] in DIGITS and NUMBER.fullmatch(core) or low in SPELLED:
             token, kind = "<number>", SLOT
         elif low in UNITS:
             token, kind = "<unit>", SLOT
-        elif core[:1].isupper() and core[1:] == core[1:].lower():
+        elif core[:1].isupper() and core[1:] == low[1:]:
             token, kind = low, NAME
         else:
             token, kind = low, WORD
         at = self.known[raw] = len(self.known)
         self.codes[at] = _hash(token) if core else 0
         self.kinds[at] = kind
-        self.ends[at] = raw.rstrip(MARKS.translate({ord(c): None for c in ENDS}))[-1:] in ENDS
+        self.ends[at] = raw.rstrip(OTHER_MARKS)[-1:] in ENDS
         return at
 
     def known_name(self, raw: str) -> bool:
