@@ -139,3 +139,25 @@ def test_models_do_not_share_a_folder(spark, tmp_path):
     assert again.transform(data).select("prediction").collect() == model.transform(data).select("prediction").collect()
     with pytest.raises(Exception):
         models.save_model(model, str(tmp_path / "m"))
+
+
+def test_word_vectors_of_width_one_and_headers(spark, tmp_path):
+    """Only a file's first line can be a header; a number may be a word."""
+    from threadlens.sources.vectors import read_word_vectors
+
+    (tmp_path / "a.txt").write_text("2 1\nx 0.5\n7 3\n")
+    (tmp_path / "b.txt").write_text("y 1.5\n8 4\n")
+    rows = {r.word: r.vec for r in read_word_vectors(spark, str(tmp_path)).collect()}
+    assert rows == {"x": [0.5], "7": [3.0], "y": [1.5], "8": [4.0]}
+
+
+def test_dropped_tables_are_gone(spark):
+    from pathlib import Path
+
+    from threadlens.session import drop_stored, materialize
+
+    table = materialize(spark.range(3), "gone")
+    place = Path(table.inputFiles()[0].removeprefix("file:")).parent
+    assert place.exists()
+    drop_stored(table, spark.range(2))
+    assert not place.exists()

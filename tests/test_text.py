@@ -70,3 +70,29 @@ def test_idf(spark):
     docs = spark.createDataFrame([(1, ["a", "a"]), (2, ["a", "b"]), (3, [])], "id long, words array<string>")
     found = {r.word: (r.df, round(r.idf, 6)) for r in corpus.idf_table(docs).collect()}
     assert found == {"a": (2, 0.287682), "b": (1, 0.693147)}
+
+
+def test_all_entities_and_matching_ends(spark):
+    from pyspark.sql import functions as F
+
+    from threadlens.functions.text import html_to_text
+
+    rows = [("&copy;&middot;&AMP;&notanentity;&hellip;&NotEqualTilde;",), ('a<script>x="</style>";y</script>b',), ("a<style>p{}</style >b &#8364; &#xe9;",)]
+    found = spark.createDataFrame(rows, "h string").select(html_to_text(F.col("h"))).collect()
+    assert [r[0] for r in found] == ["©·&&notanentity;…≂̸", "a b", "a b € é"]
+
+
+def test_cased_request_words(spark):
+    from threadlens.operators.words import request_terms
+
+    asked = spark.createDataFrame([("a", ["Cat"], None)], "request_id string, positive array<string>, negative array<string>")
+    assert [r.word for r in request_terms(asked).collect()] == ["cat"]
+    assert [r.word for r in request_terms(asked, cased=True).collect()] == ["Cat"]
+
+
+def test_long_words_go(spark):
+    from threadlens.operators.corpus import comment_sentences
+
+    rows = [(1, "comment", None, "one " + "x" * 50 + " " + "y" * 49)]
+    found = comment_sentences(spark.createDataFrame(rows, "id long, type string, title string, text string")).collect()
+    assert found[0].words == ["one", "y" * 49]

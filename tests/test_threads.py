@@ -46,11 +46,14 @@ def test_no_edges(spark):
 
 def test_cap_keeps_the_nearest(spark):
     chain = spark.range(1, 1500).selectExpr("id + 1 AS id", "id AS parent")
-    found = thread_ancestors(chain)
+    whole = by_id(thread_ancestors(chain).nodes)
+    assert whole[1500].path == list(range(1, 1500)) and whole[1500].root == 1
+    found = thread_ancestors(chain, max_path=1000)
     nodes = by_id(found.nodes)
     assert found.cyclic_ids.count() == 0
     assert len(nodes) == 1500
     assert nodes[1500].path == list(range(500, 1500)) and nodes[1500].depth == 1499
+    assert nodes[1500].root == 1 and nodes[1500].truncated and not nodes[1001].truncated
     assert nodes[1499].path[0] == 499
     assert nodes[900].path == list(range(1, 900))
     roots = by_id(thread_roots(chain).nodes)

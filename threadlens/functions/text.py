@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,11 +14,11 @@ WHITE_SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 # A word this long or longer is dropped from comment sentences.
 MAX_WORD_LENGTH = 50
 
-# Fixed list: the named entities that occur in comment markup.
-NAMED_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
+# All named entities of HTML, by name without the semicolon, from the standard library's table.
+NAMED_ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
 
 # Fixed patterns of the markup.
-INVISIBLE = r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->"
+INVISIBLE = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->"
 PARAGRAPH_TAG = r"(?i)<p\b[^>]*>"
 ANY_TAG = r"</?[a-zA-Z!?][^>]*>"
 
@@ -31,19 +34,17 @@ def short_words(words: Column, limit: int = MAX_WORD_LENGTH) -> Column:
 
 def _entity(piece: Column) -> Column:
     """Decode one piece of text that followed an ampersand."""
-    out = F.lit(None).cast("string")
-    for name, char in NAMED_ENTITIES.items():
-        out = F.coalesce(
-            out,
-            F.when(piece.startswith(name + ";"), F.concat(F.lit(char), F.substr(piece, F.lit(len(name) + 2)))),
-        )
+    # One constant map, made when the plan is; a column a name would make the plan thousands of nodes wide.
+    table = F.from_json(F.lit(json.dumps(NAMED_ENTITIES)), "map<string,string>")
+    name = F.regexp_extract(piece, "^([a-zA-Z][a-zA-Z0-9]*);", 1)
+    named = F.when(name != "", F.concat(F.try_element_at(table, name), F.substr(piece, F.length(name) + F.lit(2))))
     hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
     deci = F.regexp_extract(piece, r"^#([0-9]{1,7});", 1)
     code = F.when(hexa != "", F.conv(hexa, 16, 10)).when(deci != "", deci).cast("int")
     known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
     char = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
     rest = F.regexp_replace(piece, r"^#[xX]?[0-9a-fA-F]{1,7};", "")
-    return F.coalesce(out, F.when(known, F.concat(char, rest)), F.concat(F.lit("&"), piece))
+    return F.coalesce(named, F.when(known, F.concat(char, rest)), F.concat(F.lit("&"), piece))
 
 
 def decode_entities(c: Column) -> Column:

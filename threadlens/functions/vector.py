@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Constants of the generator behind seeded vectors.
+MODULUS, STEP, FACTOR, ADDEND = 1 << 32, 2_654_435_769, 1_664_525, 1_013_904_223
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -36,18 +39,20 @@ def concat_vectors(a: Column, b: Column) -> Column:
 
 
 def seeded_vector(key: Column, dim: int, seed: int = 0) -> Column:
-    """A small vector (u - 0.5) / dim whose uniform values come from a hash of the key."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.lit((dim + 3) // 4 - 1)),
-        lambda b: F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), b.cast("string"))),
-    )
-
-    def piece(digest: Column, i: int) -> Column:
-        u = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("double") / float(2**32)
-        return ((u - 0.5) / dim).cast("float")
-
-    values = F.flatten(F.transform(blocks, lambda d: F.array(*[piece(d, i) for i in range(4)])))
-    return F.slice(values, 1, dim)
+    """A small vector (u - 0.5) / dim, its uniform values from a hash of the key.
+
+    One digest a key; place i takes its first 32 bits through a multiply-and-add modulo 2^32, all in whole
+    numbers that every engine computes alike, and keeps the upper 24 bits, as the lower ones repeat.
+    """
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
+
+    def value(i: Column) -> Column:
+        mixed = (start + i * STEP) % MODULUS
+        mixed = (mixed * FACTOR + ADDEND) % MODULUS
+        mixed = (mixed.bitwiseXOR(F.shiftright(mixed, 15)) * FACTOR) % MODULUS
+        return ((F.shiftright(mixed, 8).cast("double") / float(1 << 24) - 0.5) / dim).cast("float")
+
+    return F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(dim).cast("bigint")), value)
 
 
 def mean_columns(vec: Column, weight: Column, count: Column, dim: int) -> list[Column]:

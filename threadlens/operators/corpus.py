@@ -11,15 +11,6 @@ from threadlens.functions.text import html_to_text, paragraphs, short_words, tok
 from threadlens.operators.items import comments, submission_corpus
 from threadlens.operators.ranking import with_position
 
-# Fixed sizes: words kept for paragraph vectors and for word vectors.
-PARAGRAPH_VOCABULARY = 400_000
-WORD_VOCABULARY = 10_000_000
-
-
-def tokenized(df: DataFrame, text: str, lower: bool = True) -> DataFrame:
-    return df.withColumn("words", tokenize(F.col(text), lower))
-
-
 def title_sentences(items: DataFrame, lower: bool = True) -> DataFrame:
     """``(id, pos, words)``, one sentence a story."""
     return submission_corpus(items).select(
@@ -57,12 +48,12 @@ def word_counts(df: DataFrame, words: str = "words") -> DataFrame:
 
 
 def vocabulary(
-    df: DataFrame, words: str = "words", size: int = PARAGRAPH_VOCABULARY, min_count: int = 1
+    df: DataFrame, words: str = "words", size: int | None = None, min_count: int = 1
 ) -> DataFrame:
-    """``(word_id, word, n)``: the ``size`` most frequent words, ties in word order."""
+    """``(word_id, word, n)``, most frequent first, ties in word order; all words, or exactly the first ``size``."""
     counts = word_counts(df, words).where(F.col("n") >= min_count)
-    ranked = with_position(counts, [F.desc("n"), F.col("word")], "word_id")
-    return ranked.where(F.col("word_id") < size).select("word_id", "word", "n")
+    ranked = with_position(counts, [F.desc("n"), F.col("word")], "word_id").select("word_id", "word", "n")
+    return ranked if size is None else ranked.where(F.col("word_id") < size)
 
 
 def document_frequencies(df: DataFrame, words: str = "words") -> DataFrame:

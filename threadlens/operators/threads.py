@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from threadlens.session import materialize
 
-MAX_PATH = 1000
 LOOKUPS_A_ROUND = 3
 
 
@@ -56,7 +55,7 @@ def _lookup(known: DataFrame, with_path: bool) -> DataFrame:
     )
 
 
-def _advance(state: DataFrame, ahead: DataFrame, with_path: bool, max_path: int) -> DataFrame:
+def _advance(state: DataFrame, ahead: DataFrame, with_path: bool, max_path: int | None) -> DataFrame:
     """Every live row takes over the path of its hop; a hop without a row is a root.
 
     ``ahead`` has one row an id, so only the state side can be skewed (a popular hop), which AQE
@@ -73,13 +72,14 @@ def _advance(state: DataFrame, ahead: DataFrame, with_path: bool, max_path: int)
     if with_path:
         # The nearest ancestors are the last ones of the list.
         path = F.concat("next_path", "path")
-        surplus = F.size("next_path") + F.size("path") - max_path
-        path = F.when(surplus > 0, F.slice(path, surplus + 1, max_path)).otherwise(path)
+        if max_path is not None:
+            surplus = F.size("next_path") + F.size("path") - max_path
+            path = F.when(surplus > 0, F.slice(path, surplus + 1, max_path)).otherwise(path)
         columns.append(F.when(found, path).otherwise(F.col("path")).alias("path"))
     return state.join(ahead, key == F.col("next_id"), "left").select(*columns)
 
 
-def _resolve(links: DataFrame, with_path: bool, max_path: int) -> tuple[DataFrame, DataFrame]:
+def _resolve(links: DataFrame, with_path: bool, max_path: int | None) -> tuple[DataFrame, DataFrame]:
     """Follow all hops to the end; returns the finished rows and those that never finish.
 
     A round makes three lookups in the same table, which multiplies the known ancestors by four
@@ -88,7 +88,8 @@ def _resolve(links: DataFrame, with_path: bool, max_path: int) -> tuple[DataFram
     """
     live, finished = links, None
     while True:
-        ahead = _lookup(live if finished is None else finished.unionByName(live), with_path)
+        known = live if finished is None else finished.unionByName(live)
+        ahead = _lookup(known, with_path)
         state = live
         for _ in range(LOOKUPS_A_ROUND):
             state = _advance(state, ahead, with_path, max_path)
@@ -108,10 +109,11 @@ def _roots(edges: DataFrame, links: DataFrame) -> DataFrame:
     return ends.where("id IS NOT NULL").distinct().join(links.select("id"), "id", "left_anti")
 
 
-def thread_ancestors(edges: DataFrame, max_path: int = MAX_PATH) -> Threads:
+def thread_ancestors(edges: DataFrame, max_path: int | None = None) -> Threads:
     """``(id, root, depth, path)``, the path root first and the parent last.
 
-    Nodes deeper than ``max_path`` keep their nearest ancestors, and ``path[0]`` as their root.
+    With ``max_path`` nodes keep that many nearest ancestors at most, and a column ``truncated`` says which ones lost
+    some; root and depth are the true ones all the same.
     """
     links = materialize(_links(edges, True), "thread-links")
     finished, endless = _resolve(links, True, max_path)
@@ -121,14 +123,16 @@ def thread_ancestors(edges: DataFrame, max_path: int = MAX_PATH) -> Threads:
         F.lit(0).cast("bigint").alias("depth"),
         F.array().cast("array<bigint>").alias("path"),
     )
-    nodes = finished.select("id", F.get("path", F.lit(0)).alias("root"), "depth", "path").union(roots)
+    nodes = finished.select("id", F.col("hop").alias("root"), "depth", "path").union(roots)
+    if max_path is not None:
+        nodes = nodes.withColumn("truncated", F.col("depth") > F.size("path"))
     return Threads(nodes, endless.select("id"))
 
 
 def thread_roots(edges: DataFrame) -> Threads:
     """``(id, root, depth)`` without paths: the state stays four numbers wide at any depth."""
     links = materialize(_links(edges, False), "thread-links")
-    finished, endless = _resolve(links, False, 0)
+    finished, endless = _resolve(links, False, None)
     roots = _roots(edges, links).select(
         "id", F.lit(None).cast("bigint").alias("root"), F.lit(0).cast("bigint").alias("depth")
     )

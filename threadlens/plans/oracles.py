@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
+from threadlens.functions.vector import ADDEND, FACTOR, MODULUS, STEP
 from threadlens.operators.similarity import DEFAULT_K, DOCUMENT_BITS, WORD_BITS, hyperplanes
 from threadlens.plans.queries import EMBEDDING_DIM, SAMPLE_SIZE
 from threadlens.plans.views import view_sql
@@ -33,18 +36,24 @@ def tokens(text: str, lower: bool = True) -> str:
     return f"list_filter(string_split_regex({source}, '{SPACE}'), lambda w: w <> '')"
 
 
+# The entities of HTML 4, a list of its own beside the one the job uses.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+
+
 def plain_text(html: str) -> str:
-    """HTML to text; the entity step works on the pieces between ampersands."""
+    """HTML to text; the entity step works on the pieces between ampersands, invisible elements go kind by kind."""
     t = html
-    t = f"regexp_replace({t}, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>|<!--.*?-->', ' ', 'g')"
+    for hidden in ("<!--.*?-->", "<script\\b[^>]*>.*?</script\\s*>", "<style\\b[^>]*>.*?</style\\s*>"):
+        t = f"regexp_replace({t}, '(?is){hidden}', ' ', 'g')"
     t = f"regexp_replace({t}, '(?i)<p\\b[^>]*>', chr(10), 'g')"
     t = f"regexp_replace({t}, '</?[a-zA-Z!?][^>]*>', ' ', 'g')"
     code = ("coalesce(try_cast('0x'||regexp_extract(p,'^#[xX]([0-9a-fA-F]{1,6});',1) AS INT),"
             "try_cast(regexp_extract(p,'^#([0-9]{1,7});',1) AS INT))")
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    names = "MAP {" + ", ".join(f"{quoted(n)}: {quoted(c)}" for n, c in sorted(ENTITIES.items())) + "}"
+    name = "regexp_extract(p,'^([a-zA-Z][a-zA-Z0-9]*);',1)"
     piece = f"""CASE WHEN i=1 THEN p
-        WHEN starts_with(p,'lt;') THEN '<'||substr(p,4) WHEN starts_with(p,'gt;') THEN '>'||substr(p,4)
-        WHEN starts_with(p,'quot;') THEN '"'||substr(p,6) WHEN starts_with(p,'apos;') THEN ''''||substr(p,6)
-        WHEN starts_with(p,'nbsp;') THEN ' '||substr(p,6) WHEN starts_with(p,'amp;') THEN '&'||substr(p,5)
+        WHEN {name} <> '' AND {names}[{name}] IS NOT NULL THEN {names}[{name}]||substr(p,length({name})+2)
         WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111
           THEN chr({code})||regexp_replace(p,'^#[xX]?[0-9a-fA-F]{{1,7}};','')
         ELSE '&'||p END"""
@@ -125,14 +134,6 @@ ANALOGY = f"""terms AS (SELECT conv_id AS request_id, unnest({tokens('text')}) A
  means AS (SELECT request_id, list(x ORDER BY i) AS vec FROM positions GROUP BY request_id),
  uses AS (SELECT request_id, sum(uses) AS known FROM known GROUP BY request_id)"""
 
-SENTENCES = f"""lines AS (SELECT id, unnest(list_filter(string_split({plain_text('text')}, chr(10)), lambda s: s <> '')) AS line,
-    CAST(generate_subscripts(list_filter(string_split({plain_text('text')}, chr(10)), lambda s: s <> ''), 1)-1 AS INT) AS pos
-    FROM thread_items WHERE type='comment' AND text IS NOT NULL),
- split AS (SELECT id, pos, list_filter({tokens('line')}, lambda w: length(w)<50) AS words FROM lines),
- comment_rows AS (SELECT id, pos, array_to_string(words,' ') AS sentence FROM split WHERE len(words)>0),
- title_rows AS (SELECT id, 0 AS pos, array_to_string({tokens('title')},' ') AS sentence
-    FROM thread_items WHERE type='story' AND title IS NOT NULL AND id IS NOT NULL)"""
-
 CENTROIDS = f"""positions AS (SELECT label AS request_id, i, avg(CAST(vec[i] AS DOUBLE)) AS x
     FROM vectors, (SELECT unnest(range(1,{EMBEDDING_DIM + 1})) AS i) GROUP BY label, i),
  centroids AS (SELECT request_id, list(x ORDER BY i) AS vec FROM positions GROUP BY request_id)"""
@@ -149,12 +150,35 @@ def knn(bits: int | None) -> str:
 
 
 def seeded(key: str, dim: int, seed: int = 0) -> str:
-    """The small start vector: eight hexadecimal digits a position, four positions a digest."""
-    return f"""list_transform(range(0,{dim}), lambda i:
-      CAST((CAST('0x'||substr(md5({key}||':{seed}:'||CAST(i//4 AS VARCHAR)),8*(i%4)+1,8) AS BIGINT)/4294967296.0::DOUBLE-0.5)/{dim} AS FLOAT))"""
+    """The small start vector: one digest a key, then whole-number steps modulo 2^32 for every position."""
+    start = f"CAST('0x'||substr(md5({key}||':{seed}'),1,8) AS BIGINT)"
+    first = f"((({start} + i*{STEP}) % {MODULUS})*{FACTOR} + {ADDEND}) % {MODULUS}"
+    return f"""list_transform(list_transform(list_transform(range(1,{dim + 1}), lambda i: {first}), lambda x: (xor(x, x >> 15)*{FACTOR}) % {MODULUS}),
+      lambda y: CAST(((y >> 8)/16777216.0::DOUBLE-0.5)/{dim} AS FLOAT))"""
+
+
+def sentence_rows(source: str) -> str:
+    """Comment sentences of a table with id, type and text."""
+    paragraphs = f"list_filter(string_split({plain_text('text')}, chr(10)), lambda s: s <> '')"
+    return f"""texts AS (SELECT id, {paragraphs} AS parts FROM {source} WHERE type='comment' AND text IS NOT NULL),
+ lines AS (SELECT id, unnest(parts) AS line, CAST(generate_subscripts(parts, 1)-1 AS INT) AS pos FROM texts),
+ split AS (SELECT id, pos, list_filter({tokens('line')}, lambda w: length(w)<50) AS words FROM lines),
+ comment_rows AS (SELECT id, pos, array_to_string(words,' ') AS sentence FROM split WHERE len(words)>0)"""
+
+
+def held_out(label: str, labelled: str = "", where: str = "true", sample: str = "") -> str:
+    """Held-out rows of a forest on stories with vectors: split by id, label beside it."""
+    rows = f"SELECT s.id, {label} AS label FROM stories s WHERE {SCORED} AND {where}"
+    kept = f"SELECT id, label FROM labelled JOIN sizes USING (label) WHERE {fraction('class')} < {sample}" if sample else "SELECT * FROM labelled"
+    return with_views("stories vectors", f"""SELECT id, {micro('CAST(label AS DOUBLE)')} AS label_micro, true AS in_range
+      FROM kept WHERE id IN (SELECT id FROM vectors) AND NOT ({fraction('split')} < 0.7::DOUBLE)""",
+      f"labelled AS ({rows}), sizes AS (SELECT label, count(*) AS n FROM labelled GROUP BY label), kept AS ({kept})")
 
 
 def oracle_sql() -> dict[str, str]:
+    sentences = sentence_rows("thread_items") + f""",
+ title_rows AS (SELECT id, 0 AS pos, array_to_string({tokens('title')},' ') AS sentence
+    FROM thread_items WHERE type='story' AND title IS NOT NULL AND id IS NOT NULL)"""
     ancestry = lambda source, views, body: with_views(views, body, f"{edges(source)}, {ANCESTRY}", recursive=True)
     pair = "FROM vectors a JOIN vectors b ON b.id=a.id+1"
     double = "CAST({} AS DOUBLE[])".format
@@ -194,15 +218,15 @@ def oracle_sql() -> dict[str, str]:
             f"""labelled AS (SELECT id, CASE WHEN dead THEN 1 ELSE 0 END AS label FROM stories WHERE {SCORED}),
             sizes AS (SELECT label, count(*) AS n FROM labelled GROUP BY label)"""),
         "fixed_sample": with_views("thread_items", f"""SELECT * FROM comment_rows
-            ORDER BY md5(concat_ws(':',id,pos,'fixed','1')), id, pos LIMIT {SAMPLE_SIZE}""", SENTENCES),
+            ORDER BY md5(concat_ws(':',id,pos,'fixed','1')), id, pos LIMIT {SAMPLE_SIZE}""", sentences),
         "hash_split": with_views("stories", f"SELECT id, {fraction('split')} < 0.7::DOUBLE AS is_train FROM stories"),
         "log_label": with_views("stories", f"""SELECT id, score, {micro('ln(score+1.0::DOUBLE)')} AS label_micro,
             {micro('exp(ln(score+1.0::DOUBLE))-1')} AS undone_micro FROM stories WHERE {SCORED}"""),
         "tokenized_documents": f"SELECT id, len(words) AS n, md5(array_to_string(words,' ')) AS digest FROM ({DOCUMENT_WORDS})",
         "html_plaintext": f"SELECT page_id, {plain_text('html')} AS text FROM pages",
-        "comment_sentences": with_views("thread_items", "SELECT * FROM comment_rows", SENTENCES),
-        "sentence_union": with_views("thread_items", "SELECT * FROM comment_rows UNION ALL SELECT * FROM title_rows", SENTENCES),
-        "vocabulary": f"WITH {RANKED} SELECT * FROM ranked WHERE word_id<400000",
+        "comment_sentences": with_views("thread_items", "SELECT * FROM comment_rows", sentences),
+        "sentence_union": with_views("thread_items", "SELECT * FROM comment_rows UNION ALL SELECT * FROM title_rows", sentences),
+        "vocabulary": f"WITH {RANKED} SELECT * FROM ranked",
         "vocabulary_capped": f"WITH {RANKED} SELECT * FROM ranked WHERE n>=2 AND word_id<1000",
         "idf_table": f"""WITH d AS ({DOCUMENT_WORDS}), f AS (SELECT word, count(*) AS df FROM
             (SELECT unnest(list_distinct(words)) AS word FROM d) GROUP BY word)
@@ -231,6 +255,52 @@ def oracle_sql() -> dict[str, str]:
                 FROM asked a JOIN stored s USING (bucket))
             SELECT request_id, CAST(rank AS INT) AS rank, word, {micro('1-distance')} AS sim_micro, {vec_text('vec')} AS vec FROM
                 (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, word) AS rank FROM found) WHERE rank<={DEFAULT_K}""",
+        "csv_header_ingest": with_views("raw_items", TYPED),
+        "typed_items_sql": with_views("raw_items", f"SELECT author, score, title, type, parent, deleted, descendants, id FROM ({TYPED})"),
+        "json_titles": f"""SELECT item_id AS id, text AS title, 'title' AS kind FROM benchmark UNION ALL
+            SELECT row_number() OVER (ORDER BY word)-1, word, 'word' FROM (SELECT DISTINCT unnest({tokens('text')}) AS word FROM benchmark)""",
+        "vector_table_roundtrip": with_views("vectors", f"SELECT id, {vec_text('vec')} AS vec FROM vectors"),
+        "page_sentences": f"""WITH page_items AS (SELECT page_id AS id, 'comment' AS type, html AS text FROM pages), {sentence_rows('page_items')}
+            SELECT * FROM comment_rows""",
+        "rf_score_log": held_out("ln(score+1.0::DOUBLE)"),
+        "rf_score_raw": held_out("score"),
+        "rf_score_concat": held_out("score"),
+        "rf_comment_count": held_out("ln(coalesce(descendants,0)+1.0::DOUBLE)"),
+        "rf_dead": held_out("CASE WHEN dead THEN 1 ELSE 0 END", sample="least(1.0::DOUBLE, 300000/n::DOUBLE)"),
+        "rf_commented": held_out("CASE WHEN coalesce(descendants,0)>0 THEN 1 ELSE 0 END", where="coalesce(descendants,0)>=0",
+            sample="least(1.0::DOUBLE, (SELECT min(n) FROM sizes)/n::DOUBLE)"),
+        "rf_tfidf": with_views("stories", f"""SELECT id, {micro('CAST(score AS DOUBLE)')} AS label_micro, true AS in_range
+            FROM stories WHERE {SCORED} AND NOT ({fraction('split')} < 0.7::DOUBLE)"""),
+        "model_roundtrip": with_views("stories vectors", f"""SELECT id, true AS same FROM stories
+            WHERE {SCORED} AND id IN (SELECT id FROM vectors) AND NOT ({fraction('split')} < 0.7::DOUBLE)"""),
+        "forest_report": f"SELECT count(*) AS n, true AS mse_known, CAST(5 AS BIGINT) AS n_trees FROM ({held_out('ln(score+1.0::DOUBLE)')})",
+        "class_report": "SELECT true AS false_positive, true AS false_negative, CAST(3 AS BIGINT) AS n_trees",
+        "word_vectors": with_views("thread_items", """SELECT DISTINCT word, 100 AS width, true AS finite FROM (
+            SELECT unnest(string_split(sentence, ' ')) AS word FROM (SELECT sentence FROM comment_rows UNION ALL SELECT sentence FROM title_rows)) WHERE word<>''""", sentences),
+        "mean_doc_vectors": f"""WITH {WORDS}, uses AS (SELECT id, word, count(*) AS uses FROM (SELECT id, unnest(words) AS word FROM ({DOCUMENT_WORDS})) GROUP BY ALL),
+            known AS (SELECT id, uses, vec FROM uses JOIN words USING (word)),
+            positions AS (SELECT id, i, sum(uses*CAST(vec[i] AS DOUBLE))/sum(uses) AS x FROM known, (SELECT unnest(range(1,{EMBEDDING_DIM + 1})) AS i) GROUP BY id, i),
+            means AS (SELECT id, list(x ORDER BY i) AS vec FROM positions GROUP BY id)
+            SELECT doc_id AS id, {vec_text('vec')} AS vec FROM documents LEFT JOIN means ON id=doc_id""",
+        "update_sums": with_views("vectors", f"""SELECT word_id, {vec_text('list(squares ORDER BY i)')} AS squares, {vec_text('list(vec ORDER BY i)')} AS vec FROM (
+            SELECT word_id, i, 0.5::DOUBLE+g*g AS squares, CAST(g*0.025::DOUBLE/(1e-6::DOUBLE+sqrt(0.5::DOUBLE+g*g)) AS FLOAT) AS vec FROM (
+              SELECT CAST(label AS BIGINT) AS word_id, i, sum(CAST(vec[i] AS DOUBLE))/0.025::DOUBLE AS g
+              FROM vectors, (SELECT unnest(range(1,{EMBEDDING_DIM + 1})) AS i) GROUP BY 1, 2)) GROUP BY word_id"""),
+        "paragraph_vectors": "SELECT doc_id AS id, 100 AS width, true AS finite FROM documents",
+        "paragraph_vectors_pretrained": f"SELECT doc_id AS id, {EMBEDDING_DIM} AS width, true AS finite FROM documents",
+        "infer_vectors": "SELECT item_id AS id, 100 AS width, true AS finite FROM benchmark",
+        "similar_titles": with_views("vectors stories", f"""SELECT request_id, CAST(rank AS INT) AS rank, f.id, md5(title) AS title, {micro('1-distance')} AS sim_micro FROM
+            (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, id) AS rank FROM near) f
+            LEFT JOIN stories s ON s.id=f.id AND type='story' AND title IS NOT NULL WHERE rank<={DEFAULT_K}""", f"""{WORDS},
+            requests AS (SELECT item_id AS request_id, {tokens('text')} AS parts, CAST(vec AS DOUBLE[]) AS start FROM benchmark JOIN vectors ON id=item_id+1),
+            given AS (SELECT word, CAST(vec AS DOUBLE[]) AS vec FROM words),
+            moved AS (SELECT request_id, list_transform(range(1,{EMBEDDING_DIM + 1}), lambda i: start[i]
+                + (coalesce(p.vec[i], 0) - coalesce(m.vec[i], 0))) AS vec
+              FROM requests LEFT JOIN given p ON p.word=parts[1] LEFT JOIN given m ON m.word=parts[-1]),
+            asked AS (SELECT request_id, vec, {bucket('vec', WORD_BITS)} AS bucket FROM moved),
+            stored AS (SELECT id, vec, {bucket('CAST(vec AS DOUBLE[])', WORD_BITS)} AS bucket FROM vectors),
+            near AS (SELECT request_id, id, round(1-list_dot_product(a.vec, CAST(s.vec AS DOUBLE[])),9) AS distance FROM asked a JOIN stored s USING (bucket))"""),
+        "score_titles": "SELECT item_id AS request_id, 0 AS pos, text AS sentence, true AS tfidf, true AS docvec, true AS docvec2, 100 AS width FROM benchmark",
         "mse_metric": """SELECT count(*) AS n, round(avg(pow(o_totalprice-(150000.0::DOUBLE+o_custkey%1000),2)),2) AS mse FROM orders""",
         "error_rates": """SELECT round(count(*) FILTER (quality=0 AND toxic<>0)/nullif(count(*) FILTER (quality=0),0)::DOUBLE,6) AS false_positive,
             round(count(*) FILTER (quality=1 AND toxic<>1)/nullif(count(*) FILTER (quality=1),0)::DOUBLE,6) AS false_negative FROM labels""",

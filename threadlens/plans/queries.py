@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.functions import labels as lab
+from threadlens.functions.clean import register_sql_functions
 from threadlens.functions.text import html_to_text, tokenize
 from threadlens.functions.vector import add, dot_distance, subtract
 from threadlens.operators import corpus, embeddings, forests, joins, metrics, sampling, scoring, similarity, threads, words
 from threadlens.operators.items import scored_stories, submission_corpus, typed_items
 from threadlens.plans.views import table, view
 from threadlens.session import materialize, prepare, scratch_path, spread
-from threadlens.sources import export, items as item_files, tsv, vectors as vector_files
+from threadlens.sources import export, items as item_files, models as model_files, tsv, vectors as vector_files
 
 EMBEDDING_DIM = 64
 SAMPLE_SIZE = 500
@@ -130,6 +131,42 @@ def export_csv_roundtrip(spark, d):
     return _orders_round_trip(spark, d, "CSV")
 
 
+@query
+def csv_header_ingest(spark, d):
+    """The same dump with a header line in every shard."""
+    path = scratch_path(spark, "raw-csv-header")
+    item_files.write_raw_csv(view(spark, d, "raw_items"), path, header=True)
+    return _typed_text(typed_items(item_files.read_raw_csv(spark, path, header=True)))
+
+
+@query
+def typed_items_sql(spark, d):
+    """Typed items in SQL over a temporary view, with the registered parsers."""
+    register_sql_functions(spark)
+    item_files.register_view(view(spark, d, "raw_items"), "raw_items_view")
+    return spark.sql("""
+        SELECT emptyAsNull(author) AS author, optInt(score) AS score, emptyAsNull(title) AS title, emptyAsNull(type) AS type,
+               optLong(parent) AS parent, optBool(deleted) AS deleted, optInt(descendants) AS descendants, optLong(id) AS id
+        FROM raw_items_view WHERE optLong(id) IS NOT NULL""")
+
+
+@query
+def json_titles(spark, d):
+    """Titles and words as JSON arrays, written by position and read back; the format makes an array one record."""
+    titles = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"))
+    both = titles.agg(F.sort_array(F.collect_list(F.struct("id", "title"))).alias("rows"))
+    parts = {
+        "ids": F.transform("rows", lambda r: r["id"]), "titles": F.transform("rows", lambda r: r["title"]),
+        "words": F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: tokenize(r["title"]))))),
+    }
+    paths = {name: scratch_path(spark, name) for name in parts}
+    for name, values in parts.items():
+        both.select(F.to_json(values)).coalesce(1).write.text(paths[name])
+    found = vector_files.read_titles(spark, paths["ids"], paths["titles"])
+    words = vector_files.read_index_words(spark, paths["words"]).withColumnRenamed("word", "title")
+    return found.select("id", "title", F.lit("title").alias("kind")).union(words.select("word_id", "title", F.lit("word").alias("kind")))
+
+
 @query
 def edge_tsv(spark, d):
     path = scratch_path(spark, "edges")
@@ -183,6 +220,13 @@ def word_vector_text(spark, d):
     return known.select("word", vector_text(F.col("vec")).alias("vec"))
 
 
+@query
+def vector_table_roundtrip(spark, d):
+    path = scratch_path(spark, "vectors")
+    vector_files.write_vectors(view(spark, d, "vectors").select("id", "vec"), path)
+    return vector_files.read_vectors(spark, path).select("id", vector_text(F.col("vec")).alias("vec"))
+
+
 # --- threads --------------------------------------------------------------------------------------
 
 
@@ -309,6 +353,14 @@ def sentence_union(spark, d):
     return sentence_text(corpus.sentences(view(spark, d, "thread_items")))
 
 
+@query
+def page_sentences(spark, d):
+    """Web pages as comment texts: markup, entities and words of 50 characters or more come up here."""
+    pages = spread(table(spark, d, "pages").select("page_id", "html"), "page_id")
+    items = pages.select(F.col("page_id").alias("id"), F.lit("comment").alias("type"), F.lit(None).cast("string").alias("title"), F.col("html").alias("text"))
+    return sentence_text(corpus.comment_sentences(items))
+
+
 @query
 def vocabulary(spark, d):
     return corpus.vocabulary(_documents(spark, d))
@@ -459,99 +511,170 @@ def _forest_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query
 def rf_score_log(spark, d):
-    return forests.score_log_forest(*_forest_inputs(spark, d)).predictions
+    return _in_range(forests.score_log_forest(*_forest_inputs(spark, d)), 0.0, None)
 
 
 @query
 def rf_score_raw(spark, d):
-    return forests.score_raw_forest(*_forest_inputs(spark, d)).predictions
+    return _in_range(forests.score_raw_forest(*_forest_inputs(spark, d)), 0.0, 499.0)
 
 
 @query
 def rf_score_concat(spark, d):
     stories, vectors = _forest_inputs(spark, d)
-    return forests.score_concat_forest(stories, vectors, vectors.select("id", F.reverse("vec").alias("vec"))).predictions
+    return _in_range(forests.score_concat_forest(stories, vectors, vectors.select("id", F.reverse("vec").alias("vec"))), 0.0, 499.0)
 
 
 @query
 def rf_comment_count(spark, d):
-    return forests.comment_count_forest(*_forest_inputs(spark, d)).predictions
+    return _in_range(forests.comment_count_forest(*_forest_inputs(spark, d)), 0.0, None)
 
 
 @query
 def rf_dead(spark, d):
-    return forests.dead_forest(*_forest_inputs(spark, d)).predictions
+    return _in_range(forests.dead_forest(*_forest_inputs(spark, d)), 0.0, 1.0)
 
 
 @query
 def rf_commented(spark, d):
-    return forests.commented_forest(*_forest_inputs(spark, d)).predictions
+    return _in_range(forests.commented_forest(*_forest_inputs(spark, d)), 0.0, 1.0)
 
 
 def _story_words(spark, d) -> DataFrame:
     """``(id, label, words)`` of scored stories; the label is the score."""
-    rows = spread(scored_stories(view(spark, d, "stories")).select("id", "score", "title"), "id")
+    rows = scored_stories(view(spark, d, "stories")).select("id", "score", "title")
     return rows.select("id", F.col("score").alias("label"), tokenize(F.col("title"), lower=False).alias("words"))
 
 
 @query
 def rf_tfidf(spark, d):
-    return forests.tfidf_forest(_story_words(spark, d)).predictions
+    return _in_range(forests.tfidf_forest(_story_words(spark, d)), 0.0, 499.0)
+
+
+@query
+def model_roundtrip(spark, d):
+    """Predictions of a forest that was saved and loaded, beside those of the forest itself."""
+    stories, vectors = _forest_inputs(spark, d)
+    forest = forests.score_raw_forest(stories, vectors)
+    path = scratch_path(spark, "forest")
+    model_files.save_model(forest.model, path)
+    again = forests.predict(model_files.load_model(path), vectors)
+    own = forest.predictions.select("id", F.col("prediction").alias("first"))
+    return again.join(own, "id").select("id", (F.col("prediction") == F.col("first")).alias("same"))
 
 
 @query
 def forest_report(spark, d):
-    """Held-out error and the trees of the score forest."""
-    return forests.regression_report(forests.score_log_forest(*_forest_inputs(spark, d)))
+    """Size of the held-out part, whether its error is a number, and how many trees the score forest has."""
+    report = forests.regression_report(forests.score_log_forest(*_forest_inputs(spark, d)))
+    return report.select("n", (F.col("mse") >= 0).alias("mse_known"), _trees())
 
 
 @query
 def class_report(spark, d):
-    return forests.classification_report(forests.commented_forest(*_forest_inputs(spark, d)))
+    report = forests.classification_report(forests.commented_forest(*_forest_inputs(spark, d)))
+    rate = lambda c: F.col(c).between(0, 1).alias(c)
+    return report.select(rate("false_positive"), rate("false_negative"), _trees())
+
+
+def _trees() -> Column:
+    return F.size(F.regexp_extract_all("trees", F.lit("Tree [0-9]+"), F.lit(0))).cast("bigint").alias("n_trees")
+
+
+def _in_range(forest: forests.Forest, low: float, high: float | None) -> DataFrame:
+    """Held-out ids and labels, and whether the prediction lies within the labels that there are."""
+    inside = F.col("prediction") >= low
+    if high is not None:
+        inside = inside & (F.col("prediction") <= high)
+    return forest.predictions.select("id", micro(F.col("label")).alias("label_micro"), inside.alias("in_range"))
 
 
 # --- embeddings and scoring -----------------------------------------------------------------------
 
 
+def _shape(df: DataFrame, key: str) -> DataFrame:
+    """Key, width and whether all values are numbers."""
+    bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e6))
+    return df.select(key, F.size("vec").alias("width"), (~bad).alias("finite"))
+
+
 @query
 def word_vectors(spark, d):
-    return embeddings.word_vector_table(embeddings.train_word_vectors(_documents(spark, d)))
+    """Trained on titles and comments together."""
+    rows = corpus.sentences(view(spark, d, "thread_items"))
+    return _shape(embeddings.word_vector_table(embeddings.train_word_vectors(rows)), "word")
 
 
 @query
 def mean_doc_vectors(spark, d):
-    documents = _documents(spark, d)
-    return embeddings.mean_word_vectors(embeddings.train_word_vectors(documents), documents)
+    """Means of the given word vectors."""
+    means = embeddings.mean_word_vectors(_word_table(spark, d), _documents(spark, d), EMBEDDING_DIM)
+    return means.select("id", vector_text(F.col("vec")).alias("vec"))
+
+
+@query
+def update_sums(spark, d):
+    """One step of the word table: embeddings as updates of their label's vector, summed and scaled."""
+    rows = view(spark, d, "vectors").select(F.col("label").cast("bigint").alias("key"), "vec")
+    sums = embeddings.sum_updates(rows, EMBEDDING_DIM)
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), EMBEDDING_DIM)
+    start = rows.select(F.col("key").alias("word_id")).distinct().select("word_id", zeros.alias("vec"), F.array_repeat(F.lit(0.5), EMBEDDING_DIM).alias("squares"))
+    moved = embeddings.apply_updates(start, sums, 0.025, EMBEDDING_DIM)
+    return moved.select("word_id", vector_text(F.col("squares")).alias("squares"), vector_text(F.col("vec")).alias("vec"))
+
+
+_TRAINED: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 def _paragraphs(spark, d) -> embeddings.ParagraphModel:
-    return embeddings.train_paragraph_vectors(_documents(spark, d))
+    """Trained once a session and folder, stored, and read from there by every query."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _TRAINED:
+        model = embeddings.train_paragraph_vectors(_documents(spark, d))
+        paths = scratch_path(spark, "paragraph-vectors"), scratch_path(spark, "paragraph-words")
+        vector_files.write_vectors(model.documents, paths[0])
+        vector_files.write_vectors(model.words, paths[1])
+        _TRAINED[key] = paths
+    return embeddings.ParagraphModel(*(vector_files.read_vectors(spark, p) for p in _TRAINED[key]))
 
 
 @query
 def paragraph_vectors(spark, d):
-    return _paragraphs(spark, d).documents
+    return _shape(_paragraphs(spark, d).documents, "id")
+
+
+@query
+def paragraph_vectors_pretrained(spark, d):
+    """Trained from the given word vectors, one pass."""
+    words = _word_table(spark, d).select("word", "vec")
+    model = embeddings.train_paragraph_vectors(_documents(spark, d), dim=EMBEDDING_DIM, epochs=1, pretrained=words)
+    return _shape(model.documents, "id")
 
 
 @query
 def infer_vectors(spark, d):
     model = _paragraphs(spark, d)
     rows = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), tokenize(F.col("text")).alias("words"))
-    return embeddings.infer_vectors(rows, model.words).select("id", "vec")
+    return _shape(embeddings.infer_vectors(rows, model.words).select("id", "vec"), "id")
 
 
 @query
 def similar_titles(spark, d):
-    """Titles like each benchmark passage, moved by its first and against its last word."""
-    model = _paragraphs(spark, d)
+    """Titles like each benchmark passage, whose vector is the embedding of its number, moved by its first word and against
+    its last one."""
     tokens = tokenize(F.col("text"))
-    requests = table(spark, d, "benchmark").select(
+    items = table(spark, d, "benchmark")
+    requests = items.select(
         F.col("item_id").alias("request_id"), F.col("text").alias("sentence"),
         F.slice(tokens, 1, 1).alias("positive"), F.slice(tokens, -1, 1).alias("negative"),
     )
-    planes = similarity.hyperplanes(similarity.DOCUMENT_BITS, embeddings.DIMENSION)
-    titles = submission_corpus(view(spark, d, "stories")).withColumn("id", F.col("id") - 1)
-    return scoring.similar_titles(requests, model.words, model.documents, titles, planes)
+    given = view(spark, d, "vectors")
+    start = given.select((F.col("id") - 1).alias("request_id"), F.col("vec").cast("array<double>").alias("vec"))
+    planes = similarity.hyperplanes(similarity.WORD_BITS, EMBEDDING_DIM)
+    found = scoring.similar_titles(
+        requests, materialize(_word_table(spark, d), "words"), given.select("id", "vec"), submission_corpus(view(spark, d, "stories")), planes, vectors=start
+    )
+    return found.select("request_id", "rank", "id", F.md5("title").alias("title"), micro(F.col("sim")).alias("sim_micro"))
 
 
 @query
@@ -568,4 +691,6 @@ def score_titles(spark, d):
     sentences = table(spark, d, "benchmark").select(
         F.col("item_id").alias("request_id"), F.lit(0).alias("pos"), F.col("text").alias("sentence")
     )
-    return scoring.score_titles(sentences, models, embeddings.DIMENSION)
+    scored = scoring.score_titles(sentences, models, embeddings.DIMENSION)
+    inside = lambda c: F.col(c).between(0, 499.0001).alias(c)
+    return scored.select("request_id", "pos", "sentence", inside("tfidf"), inside("docvec"), inside("docvec2"), F.size("vec").alias("width"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,8 @@ RUNTIME_SETTINGS = {
 }
 
 _LOCAL_SHARED: dict[str, str] = {}
+# Where materialized tables lie, by the object that reads them.
+_STORED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -44,15 +47,18 @@ def get_session(app_name: str = "threadlens", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir``.
 
-    Only a local master without the setting falls back to a folder of its own.
+    Only under a local master, where every task sees the driver's disk, an application without the setting gets a
+    folder of its own, once.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL_SHARED.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="threadlens-"))
+    if sc.applicationId not in _LOCAL_SHARED:
+        _LOCAL_SHARED[sc.applicationId] = tempfile.mkdtemp(prefix="threadlens-")
+    return _LOCAL_SHARED[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -72,15 +78,28 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _STORED[stored] = path
+    return stored
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def drop_stored(*tables: DataFrame) -> None:
+    """Remove materialized tables that nothing reads any more; anything else is left alone."""
+    for table in tables:
+        path = _STORED.pop(table, None)
+        if path:
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Repartition a *scan* by a unique key when it has fewer splits than the cluster has slots.
 
-    Large inputs already arrive in enough splits and are left alone, so nothing is shuffled there.
+    Only for tables as they are read, where counting splits runs nothing. Large inputs already arrive in enough
+    splits and are left alone, so nothing is shuffled there. Results never depend on it.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * slots:
-        return df
-    return df.repartition(slots, *keys)
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 2 * slots:
+        return scan
+    return scan.repartition(slots, *keys)
