@@ -55,6 +55,8 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encode(chunk)
         if len(chunk) <= CACHED_LENGTH:
+            if len(self) >= CACHED_CHUNKS:
+                self.clear()
             self[chunk] = ids
         return ids
 
@@ -88,8 +90,6 @@ class Encoder:
             if not self.chunked or (self.special and self.special.search(text)):
                 yield self._whole(text)
                 continue
-            if len(self.known) > CACHED_CHUNKS:
-                self.known.clear()
             yield b"".join(map(self.known.__getitem__, self.split(text)))
 
 
