@@ -26,13 +26,3 @@ ITEM = T.StructType([
 ])
 
 EDGE = T.StructType([T.StructField("id", T.LongType()), T.StructField("parent", T.LongType())])
-
-VECTORS = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("vec", T.ArrayType(T.FloatType())),
-])
-
-WORD_VECTORS = T.StructType([
-    T.StructField("word", T.StringType()),
-    T.StructField("vec", T.ArrayType(T.FloatType())),
-])
