@@ -22,6 +22,18 @@ LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 MARK = ".,;:!?|*$%&#\"()/"
 CHUNK = rf" ?(?:[{LETTER}]+(?=[{MARK}{SPACE}]|\Z)|[^{SPACE}]+)|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
 
+# Letters with at most one space before them are one split of the pattern.
+WORD = rf" ?[{LETTER}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: visible Latin-1 characters for themselves, the
+    other bytes, in order, for the code points from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 # Bounds of the chunk cache: entries, and characters of one entry.
 CACHED_CHUNKS = 400_000
 CACHED_LENGTH = 48
@@ -61,6 +73,13 @@ class _Chunks(dict):
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, no special tokens added.
 
@@ -76,13 +95,19 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.split = re.compile(CHUNK).findall
-        self.known = _Chunks(self._whole)
+        self.word = re.compile(WORD).fullmatch
+        self.letters = _byte_letters()
+        self.merge = self.tokenizer.model.tokenize
+        self.known = _Chunks(self._chunk)
 
     def _whole(self, text: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not self.word(chunk):
+            return self._whole(chunk)
+        # The library's pattern would leave this whole, so its merges alone are asked for.
+        return _packed([t.id for t in self.merge(chunk.encode().decode("latin-1").translate(self.letters))])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """One byte string a text, in order."""
