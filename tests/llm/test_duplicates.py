@@ -338,3 +338,53 @@ def test_whole_passages_are_found(spark, sf01):
     want = {(d["doc_id"], i) for d in docs.collect() for i, t in items if t in squeeze(d["text"])}
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()}
     assert want and want <= got and len(got - want) <= 2
+
+
+def found_items(spark, items, docs):
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(frame, bench).collect()}
+
+
+def test_changed_names_begin_sentences(spark):
+    item = "Tom has 5 apples in a basket. Tom buys 7 more at the shop. How many apples does Tom have now?"
+    other = item.replace("5", "31").replace("7", "12")
+    noise = words(random.Random(1), 40)
+    docs = [
+        f"{noise} {other.replace('Tom', 'Ann')} {noise}", f"{noise}. {other.replace('Tom', 'Ann Lee')}", other.replace("Tom buys", "Bob buys").replace("does Tom", "does Eve"),
+        f"Problem {other.replace('Tom', 'Ann')} {noise}", other.replace("Tom", "Ann").replace("12", "twenty five"), noise,
+    ]
+    assert found_items(spark, [item], docs) == {(0, 0), (1, 0), (3, 0), (4, 0)}
+    # The other way round, and with words that begin sentences but are no names.
+    two = "When Ann Lee has twenty-five coins left. Then Ann Lee gives two hundred to the poor. May Ann Lee still buy bread?"
+    assert found_items(spark, [two], [noise + " " + two.replace("Ann Lee", "Tom").replace("twenty-five", "8"), two.lower().replace("ann lee", "Ann Lee")]) == {(0, 0), (1, 0)}
+
+
+def test_readings_against_brute_force():
+    rng = random.Random(2)
+    tokens, choices, window = decontamination.Tokens(), decontamination._choices(5), 5
+    for n in (1, 3, 4, 5, 6, 30):
+        for _ in range(40):
+            text = " ".join(rng.choice(["Ann", "Lee", "ran", "home.", "When", "5", "two", "*"]) for _ in range(n))
+            template = tokens.read(text)
+            units = len(template.first)
+
+            def paths(u, left, choice, bit):
+                if left == 0 or u == units:
+                    yield [], choice
+                    return
+                for rest, c in paths(u + 1, left - 1, choice, bit + 1):
+                    yield [template.codes[u]] + rest, c
+                if template.either[u]:
+                    own = [template.plain[u]] + [tokens.name] * int(template.sizes[u] > 1)
+                    for rest, c in paths(u + 1, max(0, left - len(own)), choice | 1 << bit, bit + 1):
+                        yield (own + rest)[:left], c
+
+            want = set()
+            for u in range(units):
+                for path, c in paths(u, window, 0, 0):
+                    if c and (len(path) == window or u == 0 and units < window):
+                        want.add((int(decontamination.window_hashes(np.array(path, np.uint64), window)[0]), u, c))
+            before = tokens.read("When Ann Lee")
+            got = [(int(h), int(p), int(c)) for x in decontamination.other_windows([before, template], window, choices) for h, t, p, c in zip(*x) if t]
+            assert sorted(got) == sorted(want)

@@ -1,14 +1,18 @@
 """Benchmark decontamination by templates.
 
 Words become template tokens: numbers, units and names are typed placeholders, other words are
-themselves, lower-cased and without marks around them. A name is a capitalised word that doesn't begin a
-sentence or line. Every run of WINDOW tokens is a template window, and windows of documents and
-benchmark items are hash-joined.
+themselves, lower-cased and without marks around them. A name is a run of capitalised words without marks
+between them; spelled numbers that follow a number belong to it. A capitalised word that begins a sentence
+or line may be a name or not, so it is read both ways, in documents and items: as (the begin of) a name, and
+as itself, before what is left of the run. Every run of WINDOW tokens is a template window, and windows of
+documents and benchmark items, those of all readings, are hash-joined; a window's place counts tokens with
+every run as one.
 
 Matches that lie on one diagonal (same distance between the places in document and item) are one reading
 of the item in the document. Its slots, the item's placeholders and capitalised words, must be consistent: over the
 whole reading, one value of the item stands for one value of the document, and the other way round, so a question with other numbers and names
-is caught, and a text that only has numbers at the same places is not. An item is found in a document if
+is caught, and a text that only has numbers at the same places is not. Names of which one begins or ends with the other
+(Ann Lee, Ann) count as one value, as runs take in a capitalised word that stands before them. An item is found in a document if
 windows of consistent readings cover at least COVERED of the item's windows.
 
 The windows of the benchmark are broadcast as a sorted array of hashes and, for the join, as a table if
@@ -54,10 +58,12 @@ SPELLED = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
     "thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 )
-WORD, SLOT, NAME = 0, 1, 2  # kinds of a token: itself, a placeholder, a placeholder inside a sentence
+WORD, UNIT, COUNT, SPELL, NAME = range(5)  # kinds of a word; all but the first are slots
+PIECE = 1 << 13  # windows whose other readings are made at once
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-MATCHES = "doc_id long, row_key long, hash long, place int, words array<string>, slots array<int>"
+MATCHES = "doc_id long, row_key long, hash long, place int, words array<string>, slots array<int>, ats array<int>"
+READINGS = "doc_id long, row_key long, item_id long, item_key long, places array<int>, slots int, changed int"
 
 
 def _hash(token: str) -> int:
@@ -66,6 +72,85 @@ def _hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode(), 0) | 1
 
 
+def _mix(out: np.ndarray, code: np.ndarray) -> np.ndarray:
+    out = (out ^ code) * FACTOR
+    return out ^ (out >> np.uint64(31))
+
+
+def _choices(window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of each set of bits but the empty one: their number, where they begin, and all of them in a row."""
+    parts = [[c for c in range(1, 1 << window) if mask & c == c] for mask in range(1 << window)]
+    sizes = np.array([len(x) for x in parts])
+    return sizes, np.cumsum(sizes) - sizes, np.array([c for x in parts for c in x])
+
+
+class Template:
+    """A text's units (tokens, with every run as one) and its windows in all readings."""
+
+    def __init__(self, raw: list[str], first: np.ndarray, codes: np.ndarray, plain: np.ndarray, kinds: np.ndarray, either: np.ndarray, words: int):
+        self.raw, self.first, self.kinds = raw, first, kinds  # first: the word each unit begins with
+        self.codes, self.plain = codes, plain  # the code of the unit, and of its first word as itself
+        self.either = either  # whether the first word may be no name
+        self.sizes = np.diff(np.append(first, words))
+
+    def tokens(self, place: int, choice: int, window: int) -> tuple[list[str], list[int], list[int]]:
+        """Values of the window's tokens, which of them are slots, and the words they begin with."""
+        values, slots, ats = [], [], []
+        for unit in range(place, min(place + window, len(self.first))):
+            at, size, kind = int(self.first[unit]), int(self.sizes[unit]), int(self.kinds[unit])
+            own = [w.strip(MARKS).lower() for w in self.raw[at : at + size]]
+            glue = " " if kind == NAME else "_"
+            parts = [(own[0], at)] + [(glue.join(own[1:]), at + 1)] * (size > 1) if choice >> (unit - place) & 1 else [(glue.join(own), at)]
+            for value, begin in parts:
+                if len(values) < window:
+                    if kind != WORD:
+                        slots.append(len(values))
+                    values.append(value), ats.append(begin)
+        return values, slots, ats
+
+
+def other_windows(templates: list[Template], window: int, choices: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(hashes, texts, places, choices)`` of the windows in which some first words stand for themselves: bit i of the choice is set if that of the i-th unit does."""
+    counts = np.array([len(t.codes) for t in templates], dtype=np.int64)
+    ends = np.cumsum(counts)
+    either = np.concatenate([t.either for t in templates] or [np.empty(0, bool)])
+    at = np.flatnonzero(either)
+    if not len(at):
+        return
+    codes, plain = np.concatenate([t.codes for t in templates]), np.concatenate([t.plain for t in templates])
+    double = either & (np.concatenate([t.sizes for t in templates]) > 1)
+    text = np.repeat(np.arange(len(templates)), counts)
+    begin, end = (ends - counts)[text], ends[text]
+    masks = np.zeros(len(codes), dtype=np.int64)
+    for j in range(window):
+        masks[at[at - j >= begin[at]] - j] |= 1 << j
+    name = np.uint64(_hash("<name>"))
+    some = np.flatnonzero(masks)
+    sizes, offsets, flat = choices
+    for low in range(0, len(some), PIECE):
+        starts = some[low : low + PIECE]
+        parts = sizes[masks[starts]]
+        place = np.repeat(starts, parts)
+        turn = np.arange(len(place)) - np.repeat(np.cumsum(parts) - parts, parts)
+        choice = flat[offsets[masks[place]] + turn]
+        unit, rest, used, last = place.copy(), np.zeros(len(place), dtype=bool), np.zeros(len(place), dtype=np.int64), end[place]
+        out = np.zeros(len(place), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for _ in range(window):
+                inside = unit < last
+                here = np.minimum(unit, last - 1)
+                bit = np.int64(1) << (unit - place)
+                own = inside & ~rest & (choice & bit != 0)
+                used |= np.where(own, bit, 0)
+                code = np.where(rest, name, np.where(own, plain[here], codes[here]))
+                out = _mix(out, np.where(inside, code, np.uint64(0)))
+                rest = own & double[here]
+                unit += ~rest
+        kept = (used == choice) & (inside | ((place == begin[place]) & (last - place < window)))
+        place = place[kept]
+        yield out[kept].view(np.int64), text[place], place - begin[place], choice[kept]
+
+
 class Tokens:
     """Template tokens of texts; what is known of a word is remembered."""
 
@@ -74,15 +159,19 @@ class Tokens:
         self.codes = np.zeros(CACHED_WORDS, dtype=np.uint64)
         self.kinds = np.zeros(CACHED_WORDS, dtype=np.int8)
         self.ends = np.zeros(CACHED_WORDS, dtype=bool)
+        self.opens = np.zeros(CACHED_WORDS, dtype=bool)
+        self.closes = np.zeros(CACHED_WORDS, dtype=bool)
         self.name = np.uint64(_hash("<name>"))
 
     def _learn(self, raw: str) -> int:
         core = raw.strip(MARKS)
         low = core.lower()
-        if core[:1] in DIGITS and NUMBER.fullmatch(core) or low in SPELLED:
-            token, kind = "<number>", SLOT
+        if core[:1] in DIGITS and NUMBER.fullmatch(core):
+            token, kind = "<number>", COUNT
+        elif low in SPELLED or "-" in low and SPELLED.issuperset(low.split("-")):
+            token, kind = "<number>", SPELL
         elif low in UNITS:
-            token, kind = "<unit>", SLOT
+            token, kind = "<unit>", UNIT
         elif core[:1].isupper() and core[1:] == low[1:]:
             token, kind = low, NAME
         else:
@@ -91,38 +180,49 @@ class Tokens:
         self.codes[at] = _hash(token) if core else 0
         self.kinds[at] = kind
         self.ends[at] = raw.rstrip(OTHER_MARKS)[-1:] in ENDS
+        self.opens[at] = raw[:1] in MARKS
+        self.closes[at] = raw[-1:] in MARKS
         return at
 
-    def known_name(self, raw: str) -> bool:
-        return bool(self.kinds[self.known[raw]] == NAME)
-
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Codes, whether each token is a slot, and the words; words made of marks only are left out."""
+    def read(self, text: str) -> Template:
+        """The text's template; words made of marks only are left out."""
         raw, starts = [], []
         for line in text.split("\n"):
             starts.append(len(raw))
             raw += line.split()
         if not raw:
-            return np.empty(0, np.uint64), np.empty(0, bool), raw
+            none = np.empty(0, np.int64)
+            return Template(raw, none, none.astype(np.uint64), none.astype(np.uint64), none, none.astype(bool), 0)
         if len(self.known) + len(raw) > CACHED_WORDS:
             self.known.clear()
         if len(raw) > CACHED_WORDS:  # longer than the memory for words: only its different words count
             need = max(CACHED_WORDS, len(set(raw)))
-            self.codes, self.kinds, self.ends = (np.zeros(need, dtype=x.dtype) for x in (self.codes, self.kinds, self.ends))
+            for name in ("codes", "kinds", "ends", "opens", "closes"):
+                setattr(self, name, np.zeros(need, dtype=getattr(self, name).dtype))
         known = self.known
         for word in raw:
             if word not in known:
                 self._learn(word)
         index = np.fromiter(map(known.__getitem__, raw), dtype=np.int64, count=len(raw))
-        codes, kinds, ends = self.codes[index], self.kinds[index], self.ends[index]
-        begins = np.append(True, ends[:-1])
+        codes, kinds = self.codes[index], self.kinds[index]
+        begins = np.append(True, self.ends[index[:-1]])
         begins[[s for s in starts if s < len(raw)]] = True
-        names = (kinds == NAME) & ~begins
-        codes = np.where(names, self.name, codes)
+        # A word goes on with the run of the word before if no mark stands between them.
+        apart = begins | self.opens[index]
+        apart[1:] |= self.closes[index[:-1]]
         some = codes != 0
-        if some.all():
-            return codes, kinds != WORD, raw
-        return codes[some], (kinds != WORD)[some], [w for w, s in zip(raw, some.tolist()) if s]
+        if not some.all():
+            # What words of marks only say counts for the next word.
+            at = np.flatnonzero(some)
+            told = np.diff(np.append(0, np.cumsum(begins)[at])) > 0
+            begins, apart = told, apart[at] | told
+            codes, kinds, raw = codes[some], kinds[some], [w for w, s in zip(raw, some.tolist()) if s]
+        is_name = kinds == NAME
+        joins = np.zeros(len(raw), dtype=bool)
+        joins[1:] = ~apart[1:] & ((is_name[1:] & is_name[:-1]) | ((kinds[1:] == SPELL) & ((kinds[:-1] == SPELL) | (kinds[:-1] == COUNT))))
+        first = np.flatnonzero(~joins)
+        names = is_name[first]
+        return Template(raw, first, np.where(names, self.name, codes[first]), codes[first], kinds[first], names & begins[first], len(raw))
 
 
 def window_hashes(codes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -133,54 +233,79 @@ def window_hashes(codes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     out = np.zeros(count, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(window):
-            out = (out ^ whole[j : j + count]) * FACTOR
-            out ^= out >> np.uint64(31)
+            out = _mix(out, whole[j : j + count])
     return out.view(np.int64)
 
 
-def _windows(rows: DataFrame, window: int, wanted: np.ndarray | None, either: bool = False) -> DataFrame:
-    """``(doc_id, row_key, hash, place, words, slots)`` of all windows, or of those whose hash is in the sorted ``wanted``.
+def _windows(rows: DataFrame, window: int, wanted: np.ndarray | None, item: bool = False) -> DataFrame:
+    """MATCHES of all windows in all readings, or of those whose hash is in the sorted ``wanted``.
 
-    With ``either``, a capitalised first word is given both as itself and as a name: inside a document the text may
-    follow a word that ends no sentence.
+    The windows of an ``item`` begin at as many places as it has with every run read as one token.
     """
-
-    def match(slots: np.ndarray, raw: list[str], p: int) -> tuple[int, list[str], list[int]]:
-        own = raw[p : p + window]
-        return p, [w.strip(MARKS).lower() for w in own], [j for j in range(len(own)) if slots[p + j]]
-
     small = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, hashes, bitmap = Tokens(), None, None
+        tokens, choices, hashes, bitmap = Tokens(), _choices(window), None, None
         if small is not None:
             hashes = small.value
             bitmap = np.zeros(1 << BITMAP, dtype=bool)
             bitmap[hashes & ((1 << BITMAP) - 1)] = True
+
+        def hits(own: np.ndarray) -> np.ndarray:
+            found = np.arange(len(own))
+            if hashes is not None:
+                found = found[bitmap[own & ((1 << BITMAP) - 1)]]
+                if len(found):
+                    at = np.minimum(np.searchsorted(hashes, own[found]), len(hashes) - 1)
+                    found = found[hashes[at] == own[found]] if len(hashes) else found[:0]
+            return found
+
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))):
-                codes, slots, raw = tokens.read(text)
-                own = window_hashes(codes, window)
-                places = np.arange(len(own))
-                if hashes is not None:
-                    places = places[bitmap[own & ((1 << BITMAP) - 1)]]
-                    if len(places):
-                        at = np.minimum(np.searchsorted(hashes, own[places]), len(hashes) - 1)
-                        places = places[hashes[at] == own[places]] if len(hashes) else places[:0]
-                for p in places.tolist():
-                    out.append((doc_id, key, int(own[p]), *match(slots, raw, p)))
-                if either and len(own) and tokens.known_name(raw[0]):
-                    codes[0] = tokens.name
-                    out.append((doc_id, key, int(window_hashes(codes[:window], window)[0]), *match(slots, raw, 0)))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key"))))
+            templates = [tokens.read(text) for text in batch.column("text").to_pylist()]
+            for key, template in zip(keys, templates):
+                own = window_hashes(template.codes, window)
+                for p in hits(own).tolist():
+                    out.append((*key, int(own[p]), p, *template.tokens(p, 0, window)))
+            for own, which, places, chosen in other_windows(templates, window, choices):
+                for i in hits(own).tolist():
+                    t, p = int(which[i]), int(places[i])
+                    if not item or p <= max(0, len(templates[t].codes) - window):
+                        out.append((*keys[t], int(own[i]), p, *templates[t].tokens(p, int(chosen[i]), window)))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "hash", "place", "words", "slots"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "hash", "place", "words", "slots", "ats"])
 
     return rows.mapInArrow(task, MATCHES)
 
 
+def one_value(values: set[str]) -> bool:
+    """Whether all are one value: the shortest, or names that begin or end with it."""
+    least = min(values, key=lambda v: (len(v), v))
+    return all(v == least or v.startswith(least + " ") or v.endswith(" " + least) for v in values)
+
+
+def _consistent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """READINGS whose slots are consistent; a reading is as long as its item."""
+    for batch in batches:
+        out = []
+        for *key, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "item_id", "item_key", "found"))):
+            pairs = {(p["at"], p["item"], p["doc"]) for f in found for p in f["pairs"]}
+            there, back = {}, {}
+            for _, item, doc in pairs:
+                there.setdefault(item, set()).add(doc)
+                back.setdefault(doc, set()).add(item)
+            if all(map(one_value, there.values())) and all(map(one_value, back.values())):
+                changed = {at for at, item, doc in pairs if item != doc}
+                out.append((*key, sorted({f["place"] for f in found}), len({p[0] for p in pairs}), len(changed)))
+        if out:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32()]
+            columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "item_id", "item_key", "places", "slots", "changed"])
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``(doc_id, row_key, text)``; the key is a hash of the text, so rows of one id are told apart."""
     text = texts(docs)
@@ -195,8 +320,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered:
     prepared(docs.sparkSession)
     items = benchmark.select(benchmark["item_id"].cast("long").alias("doc_id"), F.xxhash64(texts(benchmark)).alias("row_key"), texts(benchmark).alias("text"))
     items = items.dropDuplicates(["doc_id", "row_key"])
-    parts = _windows(items, window, None, either=True).select(
-        F.col("doc_id").alias("item_id"), F.col("row_key").alias("item_key"), "hash", F.col("place").alias("item_place"), F.col("words").alias("item_words"), F.col("slots").alias("item_slots")
+    parts = _windows(items, window, None, item=True).select(
+        F.col("doc_id").alias("item_id"), F.col("row_key").alias("item_key"), "hash", F.col("place").alias("item_place"),
+        F.col("words").alias("item_words"), F.col("slots").alias("item_slots"), F.col("ats").alias("item_ats"),
     )
     parts = materialize(parts, "benchmark")
     counts = parts.groupBy(F.col("item_id").alias("i"), F.col("item_key").alias("ik")).agg(F.countDistinct("item_place").alias("n_windows"))
@@ -204,14 +330,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered:
     wanted = np.array(sorted(r[0] for r in parts.select("hash").distinct().collect()), dtype=np.int64) if few else None
     found = _windows(keyed(docs), window, wanted)
     found = found.join(F.broadcast(parts) if few else parts, "hash")
-    pairs = F.transform("item_slots", lambda j: F.struct((F.col("item_place") + j).alias("at"), F.get("item_words", j).alias("item"), F.get("words", j).alias("doc")))
+    pairs = F.transform("item_slots", lambda j: F.struct(F.get("item_ats", j).alias("at"), F.get("item_words", j).alias("item"), F.get("words", j).alias("doc")))
     reading = ["doc_id", "row_key", "item_id", "item_key", (F.col("place") - F.col("item_place")).alias("diagonal")]
-    # One reading has at most as many rows as its item has windows.
-    readings = found.groupBy(*reading).agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))
-    size = lambda *names: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(*[p[n] for n in names]))))
-    changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
-    readings = readings.where((size("item", "doc") == size("item")) & (size("item", "doc") == size("doc")))
-    readings = readings.select("doc_id", "row_key", "item_id", "item_key", "places", F.size("pairs").alias("slots"), changed.alias("changed"))
+    # One reading has at most as many rows as its item has windows, in all their readings.
+    readings = found.groupBy(*reading).agg(F.collect_set(F.struct(F.col("item_place").alias("place"), pairs.alias("pairs"))).alias("found"))
+    readings = readings.drop("diagonal").mapInArrow(_consistent, READINGS)
     names = ["doc_id", "row_key", "item_id", "item_key"]
     most = readings.withColumn("place", F.explode("places")).groupBy(*names).agg(
         F.countDistinct("place").alias("n_found"), F.max("slots").alias("n_slots"), F.max("changed").alias("n_changed")
