@@ -360,6 +360,17 @@ def test_changed_names_begin_sentences(spark):
     assert found_items(spark, [two], [noise + " " + two.replace("Ann Lee", "Tom").replace("twenty-five", "8"), two.lower().replace("ann lee", "Ann Lee")]) == {(0, 0), (1, 0)}
 
 
+def test_values_that_coincide(spark):
+    item = "Ann picks 3 apples and 4 pears before noon and then carries all of them home to her mother."
+    assert found_items(spark, [item], [item.replace("3", "5").replace("4", "5")]) == {(0, 0)}
+    rest = " ".join(f"v{i}" for i in range(50))
+    twice = f"Ann picks 3 apples and later on she also takes 3 pears {rest}"
+    docs = [twice.replace("3 apples", "5 apples").replace("3 pears", "8 pears"), f"{twice[:20]} {rest[:90]}"]
+    assert found_items(spark, [twice], docs) == {(0, 0)}
+    # Windows that hold a value of several meanings are no evidence.
+    assert found_items(spark, ["a 1 b 1 c 1 d 1 e 1 f"], ["a 1 b 2 c 3 d 4 e 5 f", "a 7 b 7 c 7 d 7 e 7 f"]) == {(1, 0)}
+
+
 def test_readings_against_brute_force():
     rng = random.Random(2)
     tokens, choices, window = decontamination.Tokens(), decontamination._choices(5), 5

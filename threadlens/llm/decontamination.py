@@ -10,10 +10,11 @@ every run as one.
 
 Matches that lie on one diagonal (same distance between the places in document and item) are one reading
 of the item in the document. Its slots, the item's placeholders and capitalised words, must be consistent: over the
-whole reading, one value of the item stands for one value of the document, and the other way round, so a question with other numbers and names
-is caught, and a text that only has numbers at the same places is not. Names of which one begins or ends with the other
+whole reading, one value of the item stands for one value of the document. Windows that hold a value for which that fails
+don't count, so a question with other numbers and names is caught, and a text that only has numbers at the same places is
+not. Two values of the item may get the same value. Names of which one begins or ends with the other
 (Ann Lee, Ann) count as one value, as runs take in a capitalised word that stands before them. An item is found in a document if
-windows of consistent readings cover at least COVERED of the item's windows.
+windows of its readings that are left cover at least COVERED of the item's windows.
 
 The windows of the benchmark are broadcast as a sorted array of hashes and, for the join, as a table if
 there are at most BROADCAST of them; beyond that all windows are joined by a shuffle. Nothing else
@@ -288,18 +289,20 @@ def one_value(values: set[str]) -> bool:
 
 
 def _consistent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """READINGS whose slots are consistent; a reading is as long as its item."""
+    """READINGS without the windows that hold a slot with several values; a reading is as long as its item."""
     for batch in batches:
         out = []
         for *key, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "item_id", "item_key", "found"))):
-            pairs = {(p["at"], p["item"], p["doc"]) for f in found for p in f["pairs"]}
-            there, back = {}, {}
-            for _, item, doc in pairs:
-                there.setdefault(item, set()).add(doc)
-                back.setdefault(doc, set()).add(item)
-            if all(map(one_value, there.values())) and all(map(one_value, back.values())):
+            values = {}
+            for f in found:
+                for p in f["pairs"]:
+                    values.setdefault(p["item"], set()).add(p["doc"])
+            clashes = {item for item, docs in values.items() if not one_value(docs)}
+            left = [f for f in found if not any(p["item"] in clashes for p in f["pairs"])]
+            if left:
+                pairs = {(p["at"], p["item"], p["doc"]) for f in left for p in f["pairs"]}
                 changed = {at for at, item, doc in pairs if item != doc}
-                out.append((*key, sorted({f["place"] for f in found}), len({p[0] for p in pairs}), len(changed)))
+                out.append((*key, sorted({f["place"] for f in left}), len({p[0] for p in pairs}), len(changed)))
         if out:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32()]
             columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)]
