@@ -101,6 +101,27 @@ def test_block_max_search_is_exact(monkeypatch):
         assert [round(c, 9) for c, _ in got] == [round(-c, 9) for c, _ in want]
 
 
+def test_terms_do_not_depend_on_the_number_of_examples():
+    """5,000 words that each occur in 40 of 4,000 toxic rows only."""
+    rows = [(1, {f"t{(r * 50 + i) % 5000}" for i in range(50)} | {"the", "and"}) for r in range(4000)] + [(0, {"the", "and"}) for _ in range(4000)]
+    assert set(toxicity.choose_terms(rows)) == {f"t{i}" for i in range(5000)}
+    # A word of chance is none, in a small or a large sample.
+    rng = random.Random(4)
+    for n in (400, 8000):
+        assert toxicity.choose_terms([(i % 2, {f"w{rng.randrange(300)}" for _ in range(20)}) for i in range(n)]) == []
+
+
+def test_search_with_many_ties():
+    counts = [{"a": 1, "b": i % 3} if i % 3 else {"a": 1} for i in range(900)]
+    index = toxicity.Index(["a", "b"], np.array([1.0, 2.0]), list(range(900)), [i % 2 for i in range(900)], counts)
+    for query in ({"a": 1}, {"b": 1}, {"a": 2, "b": 1}):
+        own = dict(index.vector(query))
+        cosines = [round(sum(own.get(t, 0) * w for t, w in v), 12) for v in index.vectors]
+        want = sorted((-c, p) for p, c in enumerate(cosines) if c > 0)[:15]
+        assert [p for _, p in index.nearest(index.vector(query))] == [p for _, p in want]
+        assert 7 not in [p for _, p in index.nearest(index.vector(query), but=7)]
+
+
 def test_toxicity_without_rows(spark, awkward, nothing):
     assert {r["score"] for r in toxicity.toxicity(awkward, no_labels(spark)).collect()} == {0.0}
     rows = [(1, 1, 0), (6, 0, 1), (6, 1, 0), (7, None, 1), (None, 1, 0), (12, 0, None), (15, 1, 0), (3, 1, 1)]

@@ -1,22 +1,24 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, block-max inverted index, weighted votes.
 
 Terms are lower-cased words and their beginnings of STEMS letters, as inflected words share those. Of
-all such strings of the examples those are terms whose presence goes with the label (chi-square over
-LEAST_CHI, and over LEAST_SHARE times the examples, in at least LEAST_ROWS of them): without that choice
-the cosine of two long texts is all chance matches of common words. Their document frequencies are counted
+all such strings of the examples those are terms whose presence goes with the label (in at least LEAST_ROWS examples, and
+chi-square over LEAST_CHI, which chance reaches once in 20 million strings): without that choice
+the cosine of two long texts is all chance matches of common words. The bar is the same for every number of examples,
+and there is no limit to the number of terms. Their document frequencies are counted
 over all documents.
 
 Index. Examples are put in an order that keeps alike ones together, and cut into blocks. For each term
 there are its postings and, for each block, its largest weight. A text's upper bound for a block is the
 product of its weights with those maxima; blocks are visited in falling order of the bound until no
-block left can beat the K-th best cosine found. The result is exact, ties go to the earlier example.
+block left can beat the K-th best cosine found; after ONE_BY_ONE of them, those left that still can are
+visited together. The result is exact, ties go to the earlier example.
 
 Vote. Every neighbour votes with its cosine; the share for toxic is calibrated by a monotone map fitted
 on the examples themselves, each left out of its own neighbours, with the classes weighted to their share
 among all labelled rows. A text without any term gets the rate of such examples. The neighbours are the
 evidence.
 
-The index holds at most ``per_class`` labelled rows of each class (a documented bound) and TERMS
+The index holds at most ``per_class`` labelled rows of each class (a documented bound) and their
 terms, which bounds what is broadcast. Scoring is one pass without a shuffle.
 
 Defined results: null is the empty text; without any labelled row every score is 0; repeated rows are
@@ -38,13 +40,12 @@ from pyspark.sql import functions as F
 from threadlens.llm.common import fold, labelled_sample, prepared, ship, shipped, texts, texts_of
 
 PER_CLASS = 4_000  # labelled rows of each class in the index
-TERMS = 4_096
 STEMS = (4, 5, 6)
 LEAST_CHI = 30.0
-LEAST_SHARE = 0.016
 LEAST_ROWS = 5
 NEIGHBOURS = 15
 BLOCK = 64  # examples
+ONE_BY_ONE = 4  # blocks
 THRESHOLD = 0.5
 FOLDS, HELD_OUT = 5, 0
 KEPT_ANSWERS = 50_000  # answers a task remembers, by the text's counts of terms
@@ -80,9 +81,9 @@ def choose_terms(rows: list[tuple[int, set[str]]]) -> list[str]:
         c, d = ones - a, n - ones - b
         below = (a + b) * (c + d) * (a + c) * (b + d)
         chi = n * (a * d - b * c) ** 2 / below if below else 0.0
-        if chi >= max(LEAST_CHI, LEAST_SHARE * n):
+        if chi >= LEAST_CHI:
             found.append((-chi, word))
-    return [word for _, word in sorted(found)[:TERMS]]
+    return [word for _, word in sorted(found)]
 
 
 class Index:
@@ -97,15 +98,19 @@ class Index:
         self.labels = np.array([labels[e] for e in alike], dtype=np.int64)
         self.vectors = [vectors[e] for e in alike]
         self.blocks = max(1, -(-len(alike) // BLOCK))
-        self.most = np.zeros((len(terms), self.blocks))
         postings: list[list[tuple[int, float]]] = [[] for _ in terms]
         for place, vector in enumerate(self.vectors):
             for t, weight in vector:
                 postings[t].append((place, weight))
-                self.most[t, place // BLOCK] = max(self.most[t, place // BLOCK], weight)
         self.places = [np.array([p for p, _ in own], dtype=np.int64) for own in postings]
         self.weights = [np.array([w for _, w in own]) for own in postings]
-        self.bounds = [np.searchsorted(own, np.arange(self.blocks + 1) * BLOCK) for own in self.places]
+        # For each term the blocks it occurs in, where their postings begin, and the largest weight of each.
+        self.own, self.most, self.begins = [], [], []
+        for places, weights in zip(self.places, self.weights):
+            own, begins = np.unique(places // BLOCK, return_index=True)
+            self.own.append(own)
+            self.begins.append(np.append(begins, len(places)))
+            self.most.append(np.maximum.reduceat(weights, begins) if len(own) else np.empty(0))
 
     def vector(self, counts: dict[str, int]) -> list[tuple[int, float]]:
         """Unit vector of TF-IDF weights, as (term, weight) in order of terms."""
@@ -118,21 +123,45 @@ class Index:
         """The ``k`` largest positive cosines as (cosine, place); ``but`` is left out."""
         if not vector:
             return []
-        terms = [t for t, _ in vector]
-        weights = np.array([w for _, w in vector])
-        bound = weights @ self.most[terms]
+        bound = np.zeros(self.blocks)
+        for t, w in vector:
+            bound[self.own[t]] += w * self.most[t]
+        order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (len(best) == k and bound[block] < -best[-1][0] - 1e-12):
-                break
+
+        def better(left: np.ndarray) -> np.ndarray:
+            """The blocks that can still hold one of the best."""
+            return left[(bound[left] > 0) & (bound[left] >= -best[-1][0] - 1e-12 if len(best) == k else True)]
+
+        def add(cosines: np.ndarray, first: int) -> None:
+            nonlocal best
+            if 0 <= but - first < len(cosines):
+                cosines[but - first] = 0
+            cosines = np.round(cosines, 12)
+            hits = np.flatnonzero(cosines > 0)
+            if len(hits) > k:
+                hits = hits[cosines[hits] >= np.partition(cosines[hits], -k)[-k]]
+                hits = hits[np.argsort(-cosines[hits], kind="stable")[:k]]
+            best = sorted(best + [(-float(cosines[h]), first + int(h)) for h in hits])[:k]
+
+        for block in order[:ONE_BY_ONE]:
+            if not len(better(np.array([block]))):
+                return [(-c, place) for c, place in best]
             cosines = np.zeros(BLOCK)
             for t, w in vector:
-                low, high = self.bounds[t][block], self.bounds[t][block + 1]
-                cosines[self.places[t][low:high] - block * BLOCK] += w * self.weights[t][low:high]
-            if 0 <= but - block * BLOCK < BLOCK:
-                cosines[but - block * BLOCK] = 0
-            hits = np.flatnonzero(cosines > 0)
-            best = sorted(best + [(-round(float(cosines[h]), 12), block * BLOCK + int(h)) for h in hits])[:k]
+                at = int(np.searchsorted(self.own[t], block))
+                if at < len(self.own[t]) and self.own[t][at] == block:
+                    low, high = self.begins[t][at], self.begins[t][at + 1]
+                    cosines[self.places[t][low:high] - block * BLOCK] += w * self.weights[t][low:high]
+            add(cosines, int(block) * BLOCK)
+        left = better(order[ONE_BY_ONE:])
+        if len(left):
+            cosines = np.zeros(self.blocks * BLOCK)
+            for t, w in vector:
+                cosines[self.places[t]] += w * self.weights[t]
+            kept = np.zeros(self.blocks, dtype=bool)
+            kept[left] = True
+            add(np.where(np.repeat(kept, BLOCK), cosines, 0.0), 0)
         return [(-c, place) for c, place in best]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
