@@ -58,6 +58,11 @@ def test_quality_without_rows(spark, awkward, nothing):
     assert quality.quality(nothing, labels).collect() == []
 
 
+def test_all_rows_are_accepted_without_a_model(spark, awkward):
+    kept = quality.accepted(awkward, no_labels(spark))
+    assert kept.columns == awkward.columns and Counter(kept.collect()) == Counter(awkward.collect())
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     cuts = np.sort(rng.normal(size=(24, quality.BINS - 1)), axis=1)

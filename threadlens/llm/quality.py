@@ -190,8 +190,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 def score_column(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Column:
     """The score of each text as a column of ``docs``; fits the model."""
-    spark = prepared(docs.sparkSession)
-    model = ship(spark, fit(docs, labels, per_class))
+    prepared(docs.sparkSession)
+    return _scores(docs, fit(docs, labels, per_class))
+
+
+def _scores(docs: DataFrame, fitted: Model | None) -> Column:
+    model = ship(docs.sparkSession, fitted)
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -212,5 +216,7 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> D
 
 
 def accepted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; all columns stay."""
-    return docs.where(score_column(docs, labels, per_class) >= THRESHOLD)
+    """``docs`` without the rows that the classifier rejects; all columns stay. Without a model it rejects none."""
+    prepared(docs.sparkSession)
+    model = fit(docs, labels, per_class)
+    return docs if model is None else docs.where(_scores(docs, model) >= THRESHOLD)
