@@ -51,6 +51,46 @@ SELECT page_id, u.host, u.path, f.rule,
 FROM urls u LEFT JOIN fits f ON u.host = f.host AND u.path = f.path JOIN by_host h ON u.host = h.host"""
 )
 
+OP13 = r"""
+WITH rows AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS list FROM (SELECT DISTINCT text FROM rows)),
+facts AS (
+  SELECT text, len(list) < 50 AS a, 100 * len(list_distinct(list)) < 65 * len(list) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d
+  FROM words),
+firsts AS (SELECT text, min(doc_id) AS least FROM rows GROUP BY text),
+said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+marked AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END,
+           CASE WHEN r.doc_id > least THEN 'E' END) AS fails
+  FROM rows r JOIN facts USING (text) JOIN firsts USING (text) LEFT JOIN said ON r.doc_id = said.doc_id),
+sets AS (SELECT part, good, toxic, fails, count(*) AS n FROM marked GROUP BY ALL),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE q.l != p.l AND r.l NOT IN (p.l, q.l) AND s.l NOT IN (p.l, q.l, r.l) AND t.l NOT IN (p.l, q.l, r.l, s.l)),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS letter, left(filter_order, step - 1) AS earlier
+  FROM orders, range(1, 6) t(step)),
+cases AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, contains(fails, letter) AS failed, fails = letter AS alone,
+    translate(fails, earlier, '') != fails AS gone
+  FROM sets, steps),
+counted AS (
+  SELECT part, filter_order, step, letter,
+    sum(CASE WHEN NOT failed AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN failed AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failed AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failed AND NOT gone AND good THEN n ELSE 0 END) AS good_lost,
+    sum(CASE WHEN failed AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM cases GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM counted"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10}
+    return {"op10_url_filter": OP10, "op13_filter_interactions": OP13}
