@@ -1,47 +1,48 @@
 """Sparse document-term matrix: a global dictionary of words and compressed sparse rows in shards.
 
-Words are maximal runs without ASCII white space, as bytes. The dictionary numbers all words of the corpus 0, 1, 2, ...
-by falling frequency, by one distributed sort. A row of the matrix is a distinct text, named by its SHA-256.
-
-The matrix is cut into shards by rows and by columns. Frequent words (at most FREQUENT words of at most FREQUENT_BYTES
-bytes, a bounded broadcast) are numbered where the text lies, so most of the matrix is never shuffled. All other words
-of a row leave their shard as (row, word, count), meet the dictionary in a join and come back as shards of rare columns.
-Row sums and numbers of nonzeros of a row add up over its shards.
-
-A shard is one record: ``rows`` (SHA-256 and two flags of each text), ``indptr``, ``terms`` and ``counts``. A shard of
-frequent columns holds whole rows, about SHARD_TERMS nonzeros; copies of a text give equal rows there. A shard of rare columns may hold
-a part of a row.
+Words are maximal runs without ASCII white space, as bytes. A row of the matrix is a text, named by its SHA-256; texts
+are read and cut into words once.
+
+1. Each task builds shards of about SHARD_TERMS nonzeros: row starts, columns and counts, with columns numbered inside
+   the shard. The words of a shard leave it in buckets by their hash, one compressed record a bucket.
+2. A bucket meets the words of all shards, a word at most once a shard however many rows hold it. Its distinct words in
+   order are its part of the dictionary: a word's number is its bucket (upper 32 bits) and its place there, so numbers
+   are global and the same after any lost task. A bucket answers each shard with its words' places.
+3. Answers and shards meet by shard, and columns get their global numbers.
+
+A row lies whole in one shard, so its sum and its number of nonzeros are those of the shard's row. The number of buckets
+follows from the number of documents, so a bucket's words stay bounded.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import prepared, texts
-from threadlens.operators.ranking import with_position
 from threadlens.session import materialize
 
-FREQUENT = 65_536
-FREQUENT_BYTES = 32
-SHARD_TERMS = 1 << 19
-HELD_WORDS = 300_000  # words a task counts before it passes them on
+SHARD_TERMS = 1 << 20
+BUCKET_DOCUMENTS = 4096  # documents a bucket of words
+BETWEEN = b"\n"  # no word holds it
 
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MARKS = b"#$%&*|"
 CAPITALS_PERCENT = 5
 
 ROWS = "rows array<struct<digest:binary,capitals:boolean,marks:boolean>>"
-SHARD = f"{ROWS}, indptr array<int>, terms array<long>, counts array<int>"
 ROW_TYPE = pa.list_(pa.struct([("digest", pa.binary()), ("capitals", pa.bool_()), ("marks", pa.bool_())]))
-RARE_TYPE = pa.list_(pa.struct([("row", pa.int32()), ("word", pa.binary()), ("count", pa.int32())]))
+LOCAL = {"shard": pa.int64(), "bucket": pa.int32(), "words": pa.binary(), "rows": ROW_TYPE, "indptr": pa.binary(), "columns": pa.binary(), "counts": pa.binary()}
+LOCAL_SCHEMA = f"shard long, bucket int, words binary, {ROWS}, indptr binary, columns binary, counts binary"
 
 
 def digest(docs: DataFrame) -> Column:
@@ -49,120 +50,149 @@ def digest(docs: DataFrame) -> Column:
     return F.unhex(F.sha2(texts(docs).cast("binary"), 256))
 
 
-def dictionary(docs: DataFrame) -> DataFrame:
-    """``(word, n, term)`` of all words: their occurrences and their numbers by falling occurrences, then bytes."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def passed() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return batch
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(text.split())
-                if len(held) >= HELD_WORDS:
-                    yield passed()
-        if held:
-            yield passed()
-
-    words = docs.select(texts(docs).cast("binary").alias("text")).mapInArrow(count, "word binary, n long")
-    totals = words.groupBy("word").agg(F.sum("n").alias("n"))
-    return with_position(totals, [F.col("n").desc(), F.col("word")], "term")
-
-
-def frequent(words: DataFrame) -> dict[bytes, int]:
-    """The bounded part of the dictionary that travels to all tasks."""
-    some = words.where((F.col("term") < FREQUENT) & (F.octet_length("word") <= FREQUENT_BYTES))
-    return {bytes(r["word"]): r["term"] for r in some.select("word", "term").collect()}
-
-
-def _frequent_columns(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
-    """Shards of the frequent words, each with the (row, word, count) of its other words in ``rare``."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
+def _records(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kind) for c, kind in LOCAL.items()], names=list(LOCAL))
+
+
+class _Shard:
+    """Rows under construction; columns are numbered as their words come."""
+
+    def __init__(self, number: int, buckets: int):
+        self.number, self.buckets = number, buckets
+        self.local: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.rows: list[dict] = []
+        self.columns: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, name: bytes, text: bytes, length: int) -> None:
+        own = Counter(text.split())
+        self.columns.append(np.fromiter(map(self.local.__getitem__, own), np.int64, len(own)))
+        self.counts.append(np.fromiter(own.values(), "<u4", len(own)))
+        capitals = 100 * (len(text) - len(text.translate(None, CAPITALS))) > CAPITALS_PERCENT * length
+        self.rows.append({"digest": name, "capitals": capitals, "marks": len(text.translate(None, MARKS)) < len(text)})
+        self.held += len(own)
+
+    def records(self) -> pa.RecordBatch:
+        """The shard (bucket -1) and its words by bucket. Columns are renumbered in the order in which buckets answer."""
+        words = list(self.local)
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % self.buckets
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(words), "<u4")
+        place[order] = np.arange(len(words))
+        named, starts = np.unique(bucket[order], return_index=True)
+        ends, order = np.append(starts, len(words))[1:], order.tolist()
+        out = [
+            {"shard": self.number, "bucket": b, "words": zlib.compress(BETWEEN.join([words[i] for i in order[low:high]]), 1)}
+            for b, low, high in zip(named.tolist(), starts.tolist(), ends.tolist())
+        ]
+        indptr = np.cumsum([0, *map(len, self.columns)]).astype("<u4")
+        columns = place[np.concatenate(self.columns)]
+        out.append({
+            "shard": self.number, "bucket": -1, "rows": self.rows, "indptr": indptr.tobytes(), "columns": columns.tobytes(),
+            "counts": np.concatenate(self.counts).tobytes(),
+        })
+        return _records(out)
+
+
+def _local_shards(docs: DataFrame, buckets: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value.get
-        rows, sizes, terms, counts, rare, held = [], [], [], [], [], 0
-
-        def shard() -> pa.RecordBatch:
-            nonlocal held
-            indptr = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (terms, counts)]
-            arrays = [
-                pa.array([rows], ROW_TYPE), pa.array([indptr], pa.list_(pa.int32())), pa.array([flat[0]], pa.list_(pa.int64())),
-                pa.array([flat[1].astype(np.int32)], pa.list_(pa.int32())), pa.array([rare], RARE_TYPE),
-            ]
-            for own in (rows, sizes, terms, counts, rare):
-                own.clear()
-            held = 0
-            return pa.RecordBatch.from_arrays(arrays, names=["rows", "indptr", "terms", "counts", "rare"])
-
+        number = TaskContext.get().partitionId() << 32
+        shard = _Shard(number, buckets)
         for batch in batches:
             column = batch.column("text")
             lengths = pc.utf8_length(column.cast(pa.string())).to_pylist()
-            for name, text, length in zip(batch.column("digest").to_pylist(), column.to_pylist(), lengths):
-                own = Counter(text.split())
-                ids = np.fromiter(map(number, own, repeat(-1)), np.int64, len(own))
-                times = np.fromiter(own.values(), np.int64, len(own))
-                here = ids >= 0
-                if not here.all():
-                    away = np.flatnonzero(~here).tolist()
-                    listed = list(own.items())
-                    rare.extend({"row": len(rows), "word": listed[i][0], "count": listed[i][1]} for i in away)
-                    ids, times = ids[here], times[here]
-                order = np.argsort(ids)
-                terms.append(ids[order]), counts.append(times[order]), sizes.append(len(ids))
-                capitals = 100 * (len(text) - len(text.translate(None, CAPITALS))) > CAPITALS_PERCENT * length
-                rows.append({"digest": name, "capitals": capitals, "marks": len(text.translate(None, MARKS)) < len(text)})
-                held += len(own)
-                if held >= SHARD_TERMS:
-                    yield shard()
-        if rows:
-            yield shard()
+            for row in zip(batch.column("digest").to_pylist(), column.to_pylist(), lengths):
+                shard.add(*row)
+                if shard.held >= SHARD_TERMS:
+                    yield shard.records()
+                    number += 1
+                    shard = _Shard(number, buckets)
+        if shard.rows:
+            yield shard.records()
 
     named = docs.select(digest(docs).alias("digest"), texts(docs).cast("binary").alias("text"))
-    return named.mapInArrow(build, f"{SHARD}, rare array<struct<row:int,word:binary,count:int>>")
-
-
-def _rare_columns(shards: DataFrame, words: DataFrame) -> DataFrame:
-    """Shards of all other words. Copies of a text count once; a word that most rows share is a skewed join, which AQE splits."""
-    pairs = shards.select("rows", F.explode("rare").alias("rare")).select(
-        F.col("rows")[F.col("rare.row")]["digest"].alias("digest"), F.col("rare.word").alias("word"), F.col("rare.count").alias("count")
-    )
-    pairs = pairs.groupBy("digest", "word").agg(F.max("count").alias("count"))
-    others = words.where((F.col("term") >= FREQUENT) | (F.octet_length("word") > FREQUENT_BYTES)).select("word", "term")
-    numbered = pairs.join(others, "word").select("digest", "term", "count")
+    return named.mapInArrow(build, LOCAL_SCHEMA)
+
+
+def _numbered(words: DataFrame) -> DataFrame:
+    """``(bucket, shard, places, dictionary)``: a bucket's answer to each shard, and its words in order (shard null)."""
+    dealt = words.repartition("bucket").sortWithinPartitions("bucket", "shard")
+
+    def answers(bucket: int, asked: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        distinct: set[bytes] = set()
+        for _, blob in asked:
+            distinct.update(zlib.decompress(blob).split(BETWEEN))
+        ordered = sorted(distinct)
+        number = dict(zip(ordered, range(len(ordered)))).__getitem__
+        places = [np.array(list(map(number, zlib.decompress(blob).split(BETWEEN))), "<u4").tobytes() for _, blob in asked]
+        shards = [s for s, _ in asked]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bucket] * (len(asked) + 1), pa.int32()), pa.array([*shards, None], pa.int64()), pa.array([*places, None], pa.binary()),
+             pa.array([None] * len(asked) + [zlib.compress(BETWEEN.join(ordered), 1)], pa.binary())],
+            names=["bucket", "shard", "places", "dictionary"],
+        )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, last = [], None
+        for batch in batches:
+            for bucket, shard, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shard", "words"))):
+                if bucket != last and asked:
+                    yield answers(last, asked)
+                    asked = []
+                last = bucket
+                asked.append((shard, blob))
+        if asked:
+            yield answers(last, asked)
+
+    return dealt.mapInArrow(task, "bucket int, shard long, places binary, dictionary binary")
+
+
+def _global_shards(shards: DataFrame, answers: DataFrame) -> DataFrame:
+    """Shards whose columns have global numbers."""
+    nothing = {"rows": F.lit(None).cast(ROWS[5:]), "indptr": F.lit(None).cast("binary"), "columns": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")}
+    given = answers.where("shard IS NOT NULL").select("shard", "bucket", "places", *[c.alias(n) for n, c in nothing.items()])
+    # A shard's answers come before it, in order of buckets.
+    own = shards.select("shard", F.lit(2**31 - 1).alias("bucket"), F.lit(None).cast("binary").alias("places"), *nothing)
+    dealt = given.union(own).repartition("shard").sortWithinPartitions("shard", "bucket")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: list[np.ndarray] = []
+        for batch in batches:
+            whole = batch.column("rows").is_valid().to_pylist()
+            for i, (shard, bucket, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "bucket", "places")))):
+                if not whole[i]:
+                    numbers.append(np.frombuffer(places, "<u4").astype("<i8") + (bucket << 32))
+                    continue
+                row = batch.slice(i, 1)
+                local = np.frombuffer(row.column("columns")[0].as_py(), "<u4")
+                terms = np.concatenate(numbers)[local] if numbers else local.astype("<i8")
+                numbers = []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard], pa.int64()), row.column("rows"), row.column("indptr"), pa.array([terms.tobytes()], pa.binary()), row.column("counts")],
+                    names=["shard", "rows", "indptr", "terms", "counts"],
+                )
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # rows come in order, so equal digests are neighbours
-            names = batch.column("digest").to_pylist()
-            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
-            rows = [{"digest": names[i], "capitals": None, "marks": None} for i in starts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([rows], ROW_TYPE), pa.array([[*starts, len(names)]], pa.list_(pa.int32())),
-                    pa.array([batch.column("term").to_numpy()], pa.list_(pa.int64())), pa.array([batch.column("count").to_numpy()], pa.list_(pa.int32())),
-                ],
-                names=["rows", "indptr", "terms", "counts"],
-            )
-
-    dealt = numbered.repartition("digest").sortWithinPartitions("digest", "term")
-    return dealt.mapInArrow(build, SHARD)
+    return dealt.mapInArrow(task, f"shard long, {ROWS}, indptr binary, terms binary, counts binary")
 
 
 def document_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The dictionary ``(word, n, term)`` and the shards of the matrix; ``frequent`` tells the two kinds of columns apart.
+    """The dictionary ``(bucket, dictionary)`` and the shards ``(shard, rows, indptr, terms, counts)`` of the matrix.
 
-    Null texts are empty and have a row without nonzeros; an empty table has no shards.
+    ``terms`` are little-endian 64-bit numbers, ``indptr`` and ``counts`` unsigned 32-bit ones. Null texts are empty and
+    have a row without nonzeros; repeated texts repeat their row; an empty table has neither shards nor words.
     """
     prepared(docs.sparkSession)
-    words = materialize(dictionary(docs), "dictionary")
-    shards = materialize(_frequent_columns(docs, frequent(words)), "shards")
-    here = shards.select(F.lit(True).alias("frequent"), "rows", "indptr", "terms", "counts")
-    return words, here.union(_rare_columns(shards, words).select(F.lit(False), "rows", "indptr", "terms", "counts"))
+    buckets = max(1, -(-docs.count() // BUCKET_DOCUMENTS))
+    local = materialize(_local_shards(docs, buckets), "local-shards")
+    answers = materialize(_numbered(local.where("bucket >= 0").select("bucket", "shard", "words")), "words")
+    words = answers.where("shard IS NULL").select("bucket", "dictionary")
+    return words, _global_shards(local.where("bucket < 0"), answers)
+
+
+def words_of(dictionary: bytes) -> list[bytes]:
+    """The words of one bucket of the dictionary, by their places."""
+    return zlib.decompress(dictionary).split(BETWEEN)
 
 
 def row_statistics(shards: DataFrame) -> DataFrame:
@@ -170,22 +200,15 @@ def row_statistics(shards: DataFrame) -> DataFrame:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for whole, rows, indptr, counts in zip(*batch.columns):
-                at = indptr.values.to_numpy()
-                total = np.concatenate([[0], np.cumsum(counts.values.to_numpy())])
+            for rows, indptr, counts in zip(*batch.columns):
+                at = np.frombuffer(indptr.as_py(), "<u4").astype(np.int64)
+                total = np.concatenate([[0], np.cumsum(np.frombuffer(counts.as_py(), "<u4"), dtype=np.int64)])
                 own = rows.values
                 yield pa.RecordBatch.from_arrays(
-                    [own.field("digest"), pa.array([whole.as_py()] * len(own)), pa.array(total[at[1:]] - total[at[:-1]], pa.int64()),
-                     pa.array(np.diff(at), pa.int64()), own.field("capitals"), own.field("marks")],
-                    names=["digest", "frequent", "words", "distinct", "capitals", "marks"],
+                    [own.field("digest"), pa.array(total[at[1:]] - total[at[:-1]]), pa.array(np.diff(at)), own.field("capitals"), own.field("marks")],
+                    names=["digest", "words", "distinct", "capitals", "marks"],
                 )
 
-    parts = shards.select("frequent", "rows", "indptr", "counts").mapInArrow(
-        sums, "digest binary, frequent boolean, words long, distinct long, capitals boolean, marks boolean"
-    )
-
-    def whole(name: str) -> Column:
-        # Copies of a text have equal rows of frequent columns; parts of its rare columns add up.
-        return (F.max(F.when(F.col("frequent"), F.col(name))) + F.coalesce(F.sum(F.when(~F.col("frequent"), F.col(name))), F.lit(0))).alias(name)
-
-    return parts.groupBy("digest").agg(whole("words"), whole("distinct"), F.max("capitals").alias("capitals"), F.max("marks").alias("marks"))
+    own = shards.select("rows", "indptr", "counts").mapInArrow(sums, "digest binary, words long, distinct long, capitals boolean, marks boolean")
+    # Copies of a text have equal rows.
+    return own.groupBy("digest").agg(*[F.max(c).alias(c) for c in ("words", "distinct", "capitals", "marks")])

@@ -26,7 +26,7 @@ CHUNK = rf" ?(?:[{LETTER}]+(?=[{MARK}{SPACE}]|\Z)|[^{SPACE}]+)|[{SPACE}]+(?![^{S
 WORD = rf" ?[{LETTER}]+"
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: visible Latin-1 characters for themselves, the
     other bytes, in order, for the code points from 256 on."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -96,7 +96,7 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.split = re.compile(CHUNK).findall
         self.word = re.compile(WORD).fullmatch
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.merge = self.tokenizer.model.tokenize
         self.known = _Chunks(self._chunk)
 
