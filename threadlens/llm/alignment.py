@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import prepared, texts
-from threadlens.llm.tokens import SPACE, byte_letters, tokenizer_path
+from threadlens.llm.tokens import SPACE, WORD, byte_letters, tokenizer_path
 from threadlens.session import materialize
 
 PLACE_BITS = 16
@@ -46,7 +46,7 @@ CONTAINER = 1 << PLACE_BITS  # documents
 LINKED = 3_000_000  # pairs of documents and ids that a container takes up before it ends
 BLOCK_CELLS = 1_000_000  # cells that are looked up before their pairs are counted
 DENSE = CONTAINER // 16  # from here on bits are shorter than places
-KEPT_CELLS, KEPT_LENGTH = 300_000, 64  # bounds of the cells a task remembers: number, and characters of one
+KEPT_CELLS, KEPT_PAIRS = 250_000, 4_000_000  # cells and their pairs that a task remembers before it begins anew
 SCORED = 1_000_000  # places whose scores are added up at once
 
 DOCUMENT = "doc_no long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -60,7 +60,8 @@ class Aligner:
     """Both tokenizers, and what the cells of texts give.
 
     Cells are numbered from 0; number 0 is the cell of a text without tokens. ``tokens`` has (A tokens, B tokens,
-    groups, links) of each cell, ``groups`` its text for the digest, ``pairs`` its (pair, times), flat.
+    groups, links) of each cell, ``groups`` its text for the digest with a semicolon at its end, ``pairs`` its linked
+    pairs, flat, one for each link.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -72,12 +73,16 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         self.b = SentencePieceProcessor(model_file=b_path)
-        byte_of = {letter: byte for byte, letter in byte_letters().items()}
-        self.a_bytes = {i: bytes(byte_of[c] for c in token if c in byte_of) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.letters = byte_letters()
+        byte_of = {letter: byte for byte, letter in self.letters.items()}
+        names = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        # Special strings are plain text here, so their own ids never occur.
+        self.a_bytes = [bytes(byte_of[c] for c in names.get(i, "") if c in byte_of) for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
-        ]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.lengths = [np.array([len(x) for x in own]) for own in (self.a_bytes, self.b_bytes)]
+        said = [np.array([str(i) for i in range(len(own))], dtype=object) for own in (self.a_bytes, self.b_bytes)]
+        self.said = [(said[0] + ",", said[0] + "|"), (said[1] + ",", said[1] + ";")]
         self.space = pieces.index("▁")
         # White space that B may merge with what is before it does not begin a cell.
         inside = {" " if c == "▁" else c for p in pieces if len(p) > 1 and p.strip("▁") for c, before in zip(p[1:], p) if before != "▁" or c != "▁"}
@@ -85,79 +90,84 @@ class Aligner:
         stuck = "".join(re.escape(c) for c in white if c in inside)
         more = f"(?:[{stuck}][{SPACE}]*[^{SPACE}]*)*" if stuck else ""
         self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+{more}|[{SPACE}]+").findall
+        self.word = re.compile(WORD).fullmatch
+        self.merge = self.a.model.tokenize
         self.forget()
 
     def forget(self) -> None:
         """Drop all cells; numbers given out before are void."""
         self.known: dict[str, int] = {}
-        self.tokens, self.groups, self.sizes = [(0, 0, 0, 0)], [""], [0]
-        self.pairs: list[int] = []
-        self.times: list[int] = []
-
-    def _add(self, text: str, a: list[int], b: list[int]) -> int:
-        """A new cell, or -1 if its tokens don't give its bytes back."""
-        own = text.encode()
-        a_bytes, b_bytes = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != own or b"".join(b_bytes) != own:
-            return -1
-        found: dict[int, int] = {}
-        said, links, i, j, a_end, b_end = [], 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            first_a, first_b = i, j
-            while True:
-                if a_end <= b_end and i < len(a):
-                    a_end += len(a_bytes[i])
-                    i += 1
-                else:
-                    b_end += len(b_bytes[j])
-                    j += 1
-                if a_end == b_end and i > first_a and j > first_b:
-                    break
-            left, right = a[first_a:i], b[first_b:j]
-            said.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            links += len(left) * len(right)
-            for x in left:
-                for y in right:
-                    pair = x << 32 | y
-                    found[pair] = found.get(pair, 0) + 1
-        self.tokens.append((len(a), len(b), len(said), links))
-        self.groups.append(";".join(said))
-        self.sizes.append(len(found))
-        self.pairs.extend(found)
-        self.times.extend(found.values())
-        return len(self.groups) - 1
-
-    def _cell(self, cell: str) -> int:
-        """A cell of a text. B puts a space before all it encodes: it is the cell's own, or it goes."""
-        if cell[0] == " ":
-            b = self.b.encode(cell[1:]) if len(cell) > 1 else [self.space]
-        else:
-            b = self.b.encode(cell)
-            if b[:1] != [self.space]:
-                return -1
-            b = b[1:]
-        number = self._add(cell, self.a.encode(cell, add_special_tokens=False).ids, b)
-        if len(cell) <= KEPT_LENGTH:
+        self.tokens, self.groups = np.zeros((1, 4), np.int64), [""]
+        self.pairs, self.sizes = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def _a(self, text: str) -> list[int]:
+        if self.word(text):  # the library's pattern would leave this whole, so its merges alone are asked for
+            return [t.id for t in self.merge(text.encode().decode("latin-1").translate(self.letters))]
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def _b(self, cells: list[str]) -> list[list[int]]:
+        """B puts a space before all it encodes: it is the cell's own, or it goes."""
+        out = self.b.encode([c[1:] if c[0] == " " else c for c in cells], num_threads=1)
+        for n, cell in enumerate(cells):
+            if cell == " ":
+                out[n] = [self.space]
+            elif cell[0] != " ":
+                out[n] = out[n][1:] if out[n][:1] == [self.space] else []
+        return out
+
+    def _add(self, cells: list[str], a: list[list[int]], b: list[list[int]]) -> list[int]:
+        """Numbers for new cells, -1 for those whose tokens don't give their bytes back."""
+        numbers = [-1] * len(cells)
+        whole = [
+            n for n, (cell, x, y) in enumerate(zip(cells, a, b))
+            if (own := cell.encode()) == b"".join([self.a_bytes[i] for i in x]) and own == b"".join([self.b_bytes[i] for i in y])
+        ]
+        if not whole:
+            return numbers
+        sides = [np.concatenate([np.array(side[n], np.int64) for n in whole]) for side in (a, b)]
+        counts = [np.array([len(side[n]) for n in whole]) for side in (a, b)]
+        # All cells as one text: where tokens of both end, a group ends, and so does every cell.
+        ends = [np.cumsum(lengths[ids]) for lengths, ids in zip(self.lengths, sides)]
+        cuts = np.intersect1d(*ends, assume_unique=True)
+        group = [np.searchsorted(cuts, e) for e in ends]
+        size = [np.bincount(g, minlength=len(cuts)) for g in group]
+        cell = np.searchsorted(ends[0][np.cumsum(counts[0]) - 1], cuts)
+        links = np.bincount(cell, size[0] * size[1], len(whole)).astype(np.int64)
+        right = (np.cumsum(size[1]) - size[1])[group[0]]
+        more = size[1][group[0]]
+        pairs = np.repeat(sides[0], more) << 32 | sides[1][expanded(right, more)]
+        texts = [
+            np.where(np.append(g[1:] == g[:-1], False), inner[ids], last[ids]) for (inner, last), ids, g in zip(self.said, sides, group)
+        ]
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        said = np.concatenate(texts)[order].tolist()
+        stops = np.cumsum(counts[0] + counts[1]).tolist()
+        first = len(self.groups)
+        self.groups.extend("".join(said[low:high]) for low, high in zip([0, *stops], stops))
+        own = np.stack([counts[0], counts[1], np.bincount(cell, minlength=len(whole)), links], 1)
+        self.tokens = np.concatenate([self.tokens, own])
+        self.pairs, self.sizes = np.concatenate([self.pairs, pairs]), np.concatenate([self.sizes, links])
+        for k, n in enumerate(whole):
+            numbers[n] = first + k
+        return numbers
+
+    def _learn(self, cells: list[str]) -> None:
+        for cell, number in zip(cells, self._add(cells, list(map(self._a, cells)), self._b(cells))):
             self.known[cell] = number
-        return number
-
-    def _whole(self, text: str) -> list[int]:
-        number = self._add(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
-        return [max(number, 0)]
-
-    def cells(self, text: str | None) -> list[int]:
-        """Numbers of the cells of a text."""
-        if not text:
-            return [0]
-        cut = self.cut(" " + text)
-        get = self.known.get
-        out = [get(c) for c in cut]
-        if None in out:
-            for place, number in enumerate(out):
-                if number is None:
-                    number = get(cut[place])
-                    out[place] = self._cell(cut[place]) if number is None else number
-        return self._whole(text) if -1 in out else out
+
+    def cells(self, texts: list[str]) -> list[list[int]]:
+        """Numbers of the cells of each text. What is new in them all is worked out at once."""
+        cut = [self.cut(" " + text) if text else [] for text in texts]
+        new = {c for own in cut for c in own if c not in self.known}
+        if new:
+            self._learn(sorted(new))
+        out = [list(map(self.known.__getitem__, own)) or [0] for own in cut]
+        for n, own in enumerate(out):
+            if -1 in own:
+                text = " " + texts[n]
+                ids = self.a.encode(text, add_special_tokens=False).ids
+                out[n] = [max(self._add([text], [ids], [self.b.encode(texts[n])])[0], 0)]
+        return out
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -227,13 +237,12 @@ class Container:
         self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.linked = 0
 
-    def add(self, doc_id: int | None, text: str | None) -> None:
-        cells = self.aligner.cells(text)
-        said = ";".join([self.aligner.groups[c] for c in cells])
+    def add(self, doc_id: int | None, cells: list[int]) -> None:
+        said = "".join([self.aligner.groups[c] for c in cells])[:-1]
         self.documents.append((doc_id, hashlib.sha256(said.encode()).hexdigest() if said else ""))
         self.cells.append(np.array(cells, np.int64))
         self.held += len(cells)
-        if self.held >= BLOCK_CELLS or len(self.aligner.groups) >= KEPT_CELLS:
+        if self.held >= BLOCK_CELLS:
             self.count()
 
     def full(self) -> bool:
@@ -247,22 +256,20 @@ class Container:
         first = len(self.documents) - len(self.cells)
         cells = np.concatenate(self.cells)
         starts = np.cumsum(sizes) - sizes
-        sums = np.add.reduceat(np.array(own.tokens)[cells], starts)
+        sums = np.add.reduceat(own.tokens[cells], starts)
         self.documents[first:] = [(*d, *s) for d, s in zip(self.documents[first:], sums.tolist())]
         bits = max(1, len(own.groups).bit_length())
         key, n = summed(np.repeat(np.arange(len(sizes)), sizes) << bits | cells, np.ones(len(cells), np.int64))
         cell, place = key & ((1 << bits) - 1), (key >> bits) + first
-        pairs, own_sizes = np.array(own.pairs, np.int64), np.array(own.sizes, np.int64)
-        at = expanded((np.cumsum(own_sizes) - own_sizes)[cell], own_sizes[cell])
-        wide = np.repeat(np.arange(len(cell)), own_sizes[cell])
+        more = own.sizes[cell]
+        at = expanded((np.cumsum(own.sizes) - own.sizes)[cell], more)
+        wide = np.repeat(np.arange(len(cell)), more)
         # Pairs have up to 49 bits, places 16: equal pairs get small numbers for one sort of both.
-        distinct, small = np.unique(pairs, return_inverse=True)
-        key, times = summed(small[at] << PLACE_BITS | place[wide], np.array(own.times, np.int64)[at] * n[wide])
+        distinct, small = np.unique(own.pairs[at], return_inverse=True)
+        key, times = summed(small << PLACE_BITS | place[wide], n[wide])
         self.blocks.append((distinct[key >> PLACE_BITS], (key & (CONTAINER - 1)).astype(np.uint16), times.astype(np.int32)))
         self.linked += len(key)
         self.cells, self.held = [], 0
-        if len(own.groups) >= KEPT_CELLS:
-            own.forget()
 
     def records(self) -> Iterator[pa.RecordBatch]:
         """One record with all documents, then a record a pair and plane."""
@@ -318,8 +325,12 @@ def pair_index(docs: DataFrame, a_name: str = "byte_bpe_50k.json", b_name: str =
         number = TaskContext.get().partitionId() << 24
         container = Container(number, own)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                container.add(doc_id, text)
+            if len(own.groups) >= KEPT_CELLS or own.pairs.size >= KEPT_PAIRS:
+                container.count()
+                own.forget()
+            texts_here = batch.column("text").to_pylist()
+            for doc_id, cells in zip(batch.column("doc_id").to_pylist(), own.cells(texts_here)):
+                container.add(doc_id, cells)
                 if container.full():
                     yield from container.records()
                     number += 1

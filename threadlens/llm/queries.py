@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from threadlens.llm import (
-    decontamination, filter_audit, order_minhash, packing, quality, simhash, suffix_dedup, token_files, token_rollup, toxicity, url_filter,
+    alignment, decontamination, filter_audit, order_minhash, packing, quality, simhash, suffix_dedup, token_files, token_rollup, toxicity, url_filter,
 )
 from threadlens.llm.common import prepared, table
 
@@ -73,6 +73,11 @@ def op10_url_filter(spark, d):
     return url_filter.judge(table(spark, d, "pages"), url_filter.labelled_pages(table(spark, d, "labels")))
 
 
+@query
+def op11_pair_bitmaps(spark, d):
+    return alignment.alignment(table(spark, d, "documents"))
+
+
 @query
 def op13_filter_interactions(spark, d):
     return filter_audit.filter_interactions(table(spark, d, "documents"), table(spark, d, "labels"))
