@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from threadlens.llm import (
-    alignment, decontamination, filter_audit, order_minhash, packing, quality, simhash, suffix_dedup, token_files, token_rollup, toxicity, url_filter,
+    alignment, chunk_reuse, decontamination, filter_audit, order_minhash, packing, quality, simhash, suffix_dedup, token_files, token_rollup, toxicity, url_filter,
 )
 from threadlens.llm.common import prepared, table
 
@@ -78,6 +78,11 @@ def op11_pair_bitmaps(spark, d):
     return alignment.alignment(table(spark, d, "documents"))
 
 
+@query
+def op12_chunk_reuse(spark, d):
+    return chunk_reuse.encoding_digests(table(spark, d, "documents"))
+
+
 @query
 def op13_filter_interactions(spark, d):
     return filter_audit.filter_interactions(table(spark, d, "documents"), table(spark, d, "labels"))
