@@ -26,7 +26,9 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -47,6 +49,8 @@ MASK_BITS = 9  # a cut in 512 bytes
 LEAST, MOST = 128, 4096  # bytes of a chunk
 GEAR = np.frombuffer(hashlib.shake_128(b"rolling hash").digest(1024), "<u4")
 KEPT_WORDS, KEPT_LENGTH = 400_000, 48  # bounds of the words a task remembers: number, and bytes of one
+PLAIN_WORD = re.compile(rb"([A-Za-z]*)([.,;:!?]*)")
+LETTERS_DIGITS_MARKS = ["[\\p{L}]+", "[\\p{N}]", "[^\\s\\p{L}\\p{N}]+"]  # fixed values: how such a pattern ends
 FILTER_BITS = 1 << 26  # 8 MB
 SEEN_TEXTS = 1_000_000  # digests a task remembers, to pass equal texts on once
 
@@ -114,6 +118,16 @@ def words_after(text: bytes, at: int, n: int) -> tuple[list[bytes], bool]:
         span *= 4
 
 
+def splits_marks(path: str) -> bool:
+    """Whether a tokenizer lowers letters and always parts a run of letters from the marks after it."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    pattern = (parts[0].get("pattern") or {}).get("Regex", "").split("|")
+    return steps == ["NFC", "Replace", "Lowercase"] and pattern[-3:] == LETTERS_DIGITS_MARKS and all(p.startswith("'") for p in pattern[:-3])
+
+
 class WordEncoder(dict):
     """Ids of words as little-endian unsigned 32-bit bytes."""
 
@@ -124,6 +138,8 @@ class WordEncoder(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.plain = PLAIN_WORD.fullmatch if splits_marks(path) else lambda word: None
+        self.merge = self.library.model.tokenize
 
     def together(self, text: bytes) -> bytes:
         """What the library makes of a text as a whole."""
@@ -131,7 +147,13 @@ class WordEncoder(dict):
         return np.array(ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.together(word)
+        plain = self.plain(word)
+        if plain is None:
+            ids = self.together(word)
+        elif plain[2] and plain[1]:
+            ids = self[plain[1]] + self[plain[2]]
+        else:  # one piece of the library's pattern: its merges alone are asked for
+            ids = np.array([t.id for t in self.merge(word.decode("ascii").lower())], "<u4").tobytes()
         if len(word) <= KEPT_LENGTH:
             if len(self) >= KEPT_WORDS:
                 self.clear()
@@ -344,5 +366,7 @@ def encoding_digests(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         "text_key", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+    # Stored, so that the join's two sides come from shuffles alone and a text that many rows share is split.
+    found = materialize(found.dropDuplicates(["text_key"]), "encoding-digests")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key(docs).alias("text_key"))
-    return rows.join(found.dropDuplicates(["text_key"]), "text_key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return rows.join(found, "text_key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
