@@ -5,8 +5,9 @@ from __future__ import annotations
 from html.entities import name2codepoint
 
 from threadlens.functions.vector import ADDEND, FACTOR, MODULUS, STEP
+from threadlens.operators.multiprobe import PROBE_SHARE
 from threadlens.operators.similarity import DEFAULT_K, DOCUMENT_BITS, WORD_BITS, hyperplanes
-from threadlens.plans.queries import EMBEDDING_DIM, SAMPLE_SIZE
+from threadlens.plans.queries import EMBEDDING_DIM, RECALL_SHARES, SAMPLE_SIZE
 from threadlens.plans.views import view_sql
 
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
@@ -149,6 +150,23 @@ def knn(bits: int | None) -> str:
           FROM centroids c, vectors v {where})) WHERE rank<={DEFAULT_K}""", CENTROIDS)
 
 
+def probed_knn(bits: int, share: float = PROBE_SHARE) -> str:
+    """The k nearest vectors of every centroid in the filled buckets of least cost."""
+    planes = [f"[{','.join(repr(float(x)) for x in plane)}]::DOUBLE[]" for plane in hyperplanes(bits, EMBEDDING_DIM)]
+    side = lambda i, plane: f"""CASE WHEN (list_dot_product(c.vec, {plane})>0) <> (substr(f.bucket,{i + 1},1)='1')
+        THEN pow(list_dot_product(c.vec, {plane}), 2)/list_dot_product({plane}, {plane}) ELSE 0 END"""
+    cost = "+".join(side(i, plane) for i, plane in enumerate(planes))
+    return with_views("vectors", f"""
+      SELECT request_id, CAST(rank AS INT) AS rank, id, {micro('distance')} AS distance_micro FROM (
+        SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, id) AS rank FROM (
+          SELECT p.request_id, v.id, round(1-list_dot_product(p.vec, CAST(v.vec AS DOUBLE[])),9) AS distance
+          FROM opened p JOIN hashed v USING (bucket) WHERE place <= greatest(1, floor({share}*(SELECT count(*) FROM filled))))) WHERE rank<={DEFAULT_K}""",
+      f"""{CENTROIDS}, hashed AS (SELECT id, vec, {bucket('CAST(vec AS DOUBLE[])', bits)} AS bucket FROM vectors),
+      filled AS (SELECT DISTINCT bucket FROM hashed),
+      opened AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY cost, bucket) AS place FROM
+        (SELECT c.request_id, c.vec, f.bucket, round({cost}, 12) AS cost FROM centroids c, filled f))""")
+
+
 def seeded(key: str, dim: int, seed: int = 0) -> str:
     """The small start vector: one digest a key, then whole-number steps modulo 2^32 for every position."""
     start = f"CAST('0x'||substr(md5({key}||':{seed}'),1,8) AS BIGINT)"
@@ -157,6 +175,52 @@ def seeded(key: str, dim: int, seed: int = 0) -> str:
       lambda y: CAST(((y >> 8)/16777216.0::DOUBLE-0.5)/{dim} AS FLOAT))"""
 
 
+# Huffman by weights: each round takes the least weight, joins its first node with the odd one before, and pairs the rest.
+# Then nodes get their numbers and places by sums over the rounds, and words climb.
+HUFFMAN = RANKED + """,
+ leaves AS (SELECT n AS w, count(*) AS size, min(word_id) AS first FROM ranked GROUP BY n),
+ rounds(round, w, size, odd, queue) AS (
+  SELECT 0, CAST(NULL AS HUGEINT), CAST(0 AS HUGEINT), CAST(NULL AS HUGEINT),
+    (SELECT list({'w': CAST(w AS HUGEINT), 's': CAST(size AS HUGEINT)} ORDER BY w) FROM leaves)
+  UNION ALL
+  SELECT round+1, queue[1].w, queue[1].s,
+    CASE WHEN (queue[1].s - (CASE WHEN odd IS NULL THEN 0 ELSE 1 END)) % 2 = 1 THEN queue[1].w END,
+    (SELECT list({'w': q.w, 's': q.s} ORDER BY q.w) FROM (
+      SELECT u.w, sum(u.s) AS s FROM (SELECT unnest(list_concat(queue[2:], list_filter([
+          {'w': queue[1].w + odd, 's': CASE WHEN odd IS NULL THEN CAST(0 AS HUGEINT) ELSE CAST(1 AS HUGEINT) END},
+          {'w': 2 * queue[1].w, 's': (queue[1].s - (CASE WHEN odd IS NULL THEN 0 ELSE 1 END)) // 2}], lambda x: x.s > 0))) AS u) GROUP BY u.w) q)
+  FROM rounds WHERE len(queue) > 0),
+ steps AS (
+  SELECT round, w, size, CASE WHEN before IS NULL THEN 0 ELSE 1 END AS taken, before + w AS join_w, 2 * w AS pair_w,
+    (size - (CASE WHEN before IS NULL THEN 0 ELSE 1 END)) // 2 AS pairs
+  FROM (SELECT *, lag(odd) OVER (ORDER BY round) AS before FROM rounds) WHERE round > 0),
+ numbered AS (SELECT *, coalesce(sum(taken + pairs) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS node FROM steps),
+ made AS (
+  SELECT round, kind, m.w, coalesce(l.size, 0)
+    + coalesce(sum(m.size) OVER (PARTITION BY m.w ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM (SELECT round, 'join' AS kind, join_w AS w, 1 AS size FROM steps WHERE taken = 1
+        UNION ALL SELECT round, 'pair', pair_w, pairs FROM steps WHERE pairs > 0) m LEFT JOIN leaves l ON l.w = m.w),
+ parents AS (
+  SELECT n.round, n.w, n.size, n.taken, n.pairs, n.node, n.join_w, j.place AS join_place, n.pair_w, p.place AS pair_place
+  FROM numbered n LEFT JOIN made j ON j.round = n.round AND j.kind = 'join' LEFT JOIN made p ON p.round = n.round AND p.kind = 'pair'),
+ ups AS (
+  SELECT s.*, x.node AS next_node, x.join_w AS next_w, x.join_place AS next_place
+  FROM parents s LEFT JOIN parents x ON x.round = s.round + 1),
+ climbs(word_id, w, place, code, path, alive) AS (
+  SELECT word_id, CAST(n AS HUGEINT), CAST(word_id - first AS HUGEINT), '', '', true FROM ranked JOIN leaves ON n = w
+  UNION ALL
+  SELECT word_id,
+    CASE WHEN paired THEN u.pair_w WHEN joins THEN u.join_w ELSE u.next_w END,
+    CASE WHEN paired THEN u.pair_place + (c.place - u.taken) // 2 WHEN joins THEN u.join_place ELSE u.next_place END,
+    CASE WHEN paired THEN CAST((c.place - u.taken) % 2 AS VARCHAR) WHEN joins THEN '1' ELSE '0' END || code,
+    CAST(CASE WHEN paired THEN u.node + u.taken + (c.place - u.taken) // 2 WHEN joins THEN u.node ELSE u.next_node END AS VARCHAR)
+      || CASE WHEN path = '' THEN '' ELSE ',' || path END,
+    true
+  FROM climbs c JOIN ups u ON u.w = c.w,
+    LATERAL (SELECT c.place >= u.taken AND c.place < u.taken + 2 * u.pairs AS paired, c.place = 0 AND u.taken = 1 AS joins)
+  WHERE paired OR joins OR u.next_node IS NOT NULL)"""
+
+
 def sentence_rows(source: str) -> str:
     """Comment sentences of a table with id, type and text."""
     paragraphs = f"list_filter(string_split({plain_text('text')}, chr(10)), lambda s: s <> '')"
@@ -247,6 +311,9 @@ def oracle_sql() -> dict[str, str]:
         "lsh_knn_docs": knn(DOCUMENT_BITS),
         "lsh_index_knn": knn(WORD_BITS),
         "exact_knn": knn(None),
+        "multiprobe_knn": probed_knn(DOCUMENT_BITS),
+        "multiprobe_recall": " UNION ALL ".join(f"""SELECT {round(100 * share)} AS percent, count(*) AS wanted, count(f.id) AS hits
+            FROM ({knn(None)}) e LEFT JOIN ({probed_knn(DOCUMENT_BITS, share)}) f ON e.request_id=f.request_id AND e.id=f.id""" for share in RECALL_SHARES),
         "similar_words": f"""WITH {WORDS}, {ANALOGY},
             asked AS (SELECT request_id, vec, {bucket('vec', WORD_BITS)} AS bucket FROM means
                 WHERE request_id IN (SELECT request_id FROM terms WHERE sign>0)),
@@ -277,6 +344,9 @@ def oracle_sql() -> dict[str, str]:
         "class_report": "SELECT true AS false_positive, true AS false_negative, CAST(3 AS BIGINT) AS n_trees",
         "word_vectors": with_views("thread_items", """SELECT DISTINCT word, 100 AS width, true AS finite FROM (
             SELECT unnest(string_split(sentence, ' ')) AS word FROM (SELECT sentence FROM comment_rows UNION ALL SELECT sentence FROM title_rows)) WHERE word<>''""", sentences),
+        "huffman_codes": f"""WITH RECURSIVE {HUFFMAN}
+            SELECT word_id, word, n, code, path FROM ranked JOIN (SELECT word_id, arg_max(code, length(code)) AS code, arg_max(path, length(code)) AS path
+              FROM climbs GROUP BY word_id) USING (word_id)""",
         "mean_doc_vectors": f"""WITH {WORDS}, uses AS (SELECT id, word, count(*) AS uses FROM (SELECT id, unnest(words) AS word FROM ({DOCUMENT_WORDS})) GROUP BY ALL),
             known AS (SELECT id, uses, vec FROM uses JOIN words USING (word)),
             positions AS (SELECT id, i, sum(uses*CAST(vec[i] AS DOUBLE))/sum(uses) AS x FROM known, (SELECT unnest(range(1,{EMBEDDING_DIM + 1})) AS i) GROUP BY id, i),

@@ -9,7 +9,8 @@ from threadlens.functions import labels as lab
 from threadlens.functions.clean import register_sql_functions
 from threadlens.functions.text import html_to_text, tokenize
 from threadlens.functions.vector import add, dot_distance, subtract
-from threadlens.operators import corpus, embeddings, forests, joins, metrics, sampling, scoring, similarity, threads, words
+from threadlens.operators import corpus, embeddings, forests, joins, metrics, multiprobe, sampling, scoring, similarity, skipgram, threads, words
+from threadlens.operators.huffman import huffman_codes as codes_of
 from threadlens.operators.items import scored_stories, submission_corpus, typed_items
 from threadlens.plans.views import table, view
 from threadlens.session import materialize, prepare, scratch_path, spread
@@ -17,6 +18,7 @@ from threadlens.sources import export, items as item_files, models as model_file
 
 EMBEDDING_DIM = 64
 SAMPLE_SIZE = 500
+RECALL_SHARES = [0.1, 0.6, 1.0]
 QUERIES: dict = {}
 
 
@@ -472,6 +474,27 @@ def lsh_index_knn(spark, d):
     return _found(similarity.nearest_by_hash(_centroids(spark, d), index, stored))
 
 
+@query
+def multiprobe_knn(spark, d):
+    """Ten neighbours of every centroid from a tenth of the buckets of the document index."""
+    planes = similarity.hyperplanes(similarity.DOCUMENT_BITS, EMBEDDING_DIM)
+    return _found(multiprobe.nearest_by_probes(_centroids(spark, d), view(spark, d, "vectors"), planes))
+
+
+@query
+def multiprobe_recall(spark, d):
+    """How many neighbours of the exact search are found when a tenth, six tenths and all of the buckets are open."""
+    planes = similarity.hyperplanes(similarity.DOCUMENT_BITS, EMBEDDING_DIM)
+    asked = materialize(_centroids(spark, d), "centroids")
+    index = materialize(similarity.with_bucket(view(spark, d, "vectors").select("id", "vec"), planes), "hashed")
+    exact = materialize(similarity.nearest_exact(asked, index), "exact")
+    rows = [
+        multiprobe.recall(multiprobe.nearest_by_probes(asked, index, planes, share=share), exact).select(F.lit(round(100 * share)).alias("percent"), "wanted", "hits")
+        for share in RECALL_SHARES
+    ]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
 @query
 def exact_knn(spark, d):
     return _found(similarity.nearest_exact(_centroids(spark, d), view(spark, d, "vectors")))
@@ -602,7 +625,14 @@ def _shape(df: DataFrame, key: str) -> DataFrame:
 def word_vectors(spark, d):
     """Trained on titles and comments together."""
     rows = corpus.sentences(view(spark, d, "thread_items"))
-    return _shape(embeddings.word_vector_table(embeddings.train_word_vectors(rows)), "word")
+    return _shape(skipgram.train_word_vectors(rows, ["id", "pos"]), "word")
+
+
+@query
+def huffman_codes(spark, d):
+    """Code and inner nodes of every word of the documents."""
+    coded = codes_of(materialize(corpus.vocabulary(_documents(spark, d)), "vocabulary"))
+    return coded.select("word_id", "word", "n", "code", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 @query
