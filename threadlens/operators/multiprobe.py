@@ -2,8 +2,8 @@
 
 A request is hashed like the index. Where it lies near a plane, its neighbours may lie on the other side: a bucket that
 differs in some bits costs the sum of the squared distances to those planes. Buckets are probed in order of that cost,
-ties in order of their bits, until ``probes`` of them are open. The sequence comes from a heap over sets of bits, sorted by distance, that
-grow by the next bit or trade their last bit for it, so it is made one by one and never all at once.
+ties in order of their bits, until ``probes`` of them are open. The sequence comes from a heap over sets of bits, sorted
+by distance, that grow by the next bit or trade their last bit for it: it is made one by one, never all at once.
 
 Buckets that hold nothing are no probes: the table of buckets, one row each and at most 2^bits, is counted first and
 travels to the requests. Vectors are compared by the exact search, a request standing in each bucket it probes.
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,10 +105,8 @@ def nearest_by_probes(
     buckets = materialize(index.select("bucket").distinct(), "buckets")
     if probes is None:
         probes = max(1, int(buckets.count() * share))
-    found = nearest(probed(requests, buckets, planes, probes), index, k, **options)
-    # A request stood in several buckets under one id, and an index row lies in one: the search has kept the best of all.
-    order = Window.partitionBy("request_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # A request stands in several buckets under one id, an index row in one: the search keeps the best of all.
+    return nearest(probed(requests, buckets, planes, probes), index, k, **options)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

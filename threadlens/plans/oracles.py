@@ -239,6 +239,12 @@ def held_out(label: str, labelled: str = "", where: str = "true", sample: str =
       f"labelled AS ({rows}), sizes AS (SELECT label, count(*) AS n FROM labelled GROUP BY label), kept AS ({kept})")
 
 
+def step_down(node: str, tree: str) -> str:
+    """The child of a node of the given forest."""
+    feature = f"(11*{tree}+5*{node})%{EMBEDDING_DIM}"
+    return f"2*{node}+CASE WHEN CAST(vec[{feature}+1] AS DOUBLE) <= (SELECT threshold FROM means m WHERE m.feature={feature}) THEN 1 ELSE 2 END"
+
+
 def oracle_sql() -> dict[str, str]:
     sentences = sentence_rows("thread_items") + f""",
  title_rows AS (SELECT id, 0 AS pos, array_to_string({tokens('title')},' ') AS sentence
@@ -340,6 +346,15 @@ def oracle_sql() -> dict[str, str]:
             FROM stories WHERE {SCORED} AND NOT ({fraction('split')} < 0.7::DOUBLE)"""),
         "model_roundtrip": with_views("stories vectors", f"""SELECT id, true AS same FROM stories
             WHERE {SCORED} AND id IN (SELECT id FROM vectors) AND NOT ({fraction('split')} < 0.7::DOUBLE)"""),
+        "forest_nodes": f"""SELECT 'score' AS forest, id, true AS same FROM ({held_out('score')}) UNION ALL SELECT 'commented', id, true FROM ({held_out(
+            "CASE WHEN coalesce(descendants,0)>0 THEN 1 ELSE 0 END", where="coalesce(descendants,0)>=0",
+            sample="least(1.0::DOUBLE, (SELECT min(n) FROM sizes)/n::DOUBLE)")})""",
+        "node_table_predictions": with_views("vectors", f"""SELECT id, {micro('avg(tree + node/10.0::DOUBLE)')} AS prediction_micro FROM third GROUP BY id""",
+            f"""means AS (SELECT i-1 AS feature, round(avg(CAST(vec[i] AS DOUBLE)),4) AS threshold
+              FROM vectors, (SELECT unnest(range(1,{EMBEDDING_DIM + 1})) AS i) GROUP BY i),
+            first AS (SELECT id, vec, tree, {step_down('0', 'tree')} AS node FROM vectors, range(5) t(tree)),
+            second AS (SELECT id, vec, tree, {step_down('node', 'tree')} AS node FROM first),
+            third AS (SELECT id, tree, {step_down('node', 'tree')} AS node FROM second)"""),
         "forest_report": f"SELECT count(*) AS n, true AS mse_known, CAST(5 AS BIGINT) AS n_trees FROM ({held_out('ln(score+1.0::DOUBLE)')})",
         "class_report": "SELECT true AS false_positive, true AS false_negative, CAST(3 AS BIGINT) AS n_trees",
         "word_vectors": with_views("thread_items", """SELECT DISTINCT word, 100 AS width, true AS finite FROM (

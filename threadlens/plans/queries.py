@@ -9,7 +9,7 @@ from threadlens.functions import labels as lab
 from threadlens.functions.clean import register_sql_functions
 from threadlens.functions.text import html_to_text, tokenize
 from threadlens.functions.vector import add, dot_distance, subtract
-from threadlens.operators import corpus, embeddings, forests, joins, metrics, multiprobe, sampling, scoring, similarity, skipgram, threads, words
+from threadlens.operators import corpus, embeddings, forests, joins, metrics, multiprobe, sampling, scoring, similarity, skipgram, threads, trees, words
 from threadlens.operators.huffman import huffman_codes as codes_of
 from threadlens.operators.items import scored_stories, submission_corpus, typed_items
 from threadlens.plans.views import table, view
@@ -586,6 +586,38 @@ def model_roundtrip(spark, d):
     return again.join(own, "id").select("id", (F.col("prediction") == F.col("first")).alias("same"))
 
 
+@query
+def forest_nodes(spark, d):
+    """Predictions from the stored node tables of two forests, beside those of the forests themselves."""
+    stories, vectors = _forest_inputs(spark, d)
+    parts = []
+    for name, train, classes in (("score", forests.score_raw_forest, False), ("commented", forests.commented_forest, True)):
+        forest = train(stories, vectors)
+        path = scratch_path(spark, "nodes")
+        trees.forest_nodes(forest.model).write.parquet(path)
+        again = trees.predict_by_nodes(spark.read.parquet(path), vectors, classes)
+        same = F.abs(F.col("prediction") - F.col("first")) < 1e-9
+        own = forest.predictions.select("id", F.col("prediction").alias("first"))
+        parts.append(own.join(again, "id").select(F.lit(name).alias("forest"), "id", same.alias("same")))
+    return parts[0].union(parts[1])
+
+
+@query
+def node_table_predictions(spark, d):
+    """Predictions of a forest that is given as a table: five trees of depth three over means of the vectors."""
+    vectors = view(spark, d, "vectors")
+    means = vectors.agg(F.array(*[F.round(F.avg(F.col("vec")[i].cast("double")), 4) for i in range(EMBEDDING_DIM)]).alias("means"))
+    tree, node = (F.col("id") / 15).cast("int"), (F.col("id") % 15).cast("int")
+    grid = spark.range(75).select(tree.alias("tree"), node.alias("node"), ((11 * tree + 5 * node) % EMBEDDING_DIM).alias("feature"))
+    inner = F.col("node") < 7
+    thresholds = means.select(F.posexplode("means").alias("feature", "threshold"))
+    nodes = grid.join(thresholds, "feature").select(
+        "tree", "node", "feature", "threshold", F.when(inner, 2 * F.col("node") + 1).otherwise(-1).alias("left"),
+        F.when(inner, 2 * F.col("node") + 2).otherwise(-1).alias("right"), (F.col("tree") + F.col("node") / 10).alias("value"),
+    )
+    return trees.predict_by_nodes(nodes, vectors).select("id", micro(F.col("prediction")).alias("prediction_micro"))
+
+
 @query
 def forest_report(spark, d):
     """Size of the held-out part, whether its error is a number, and how many trees the score forest has."""
