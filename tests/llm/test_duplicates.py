@@ -399,3 +399,16 @@ def test_readings_against_brute_force():
             before = tokens.read("When Ann Lee")
             got = [(int(h), int(p), int(c)) for x in decontamination.other_windows([before, template], window, choices) for h, t, p, c in zip(*x) if t]
             assert sorted(got) == sorted(want)
+
+
+def test_stages_keep_the_values_of_all_columns(spark):
+    rng = random.Random(9)
+    names = ["_id", "_hash", "_key", "a.b", "id", "none", "hash", "row", "k", "key", "revised"]
+    rows = [(i, " ".join("w%d" % rng.randrange(10**6) for _ in range(80)), *[f"{c}{i}" for c in names]) for i in range(10, 18)]
+    rows.append((30, rows[0][1], *["copy" for _ in names]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    items = spark.createDataFrame([(1, "What is the capital of a land that nobody knows by its name?")], "item_id long, text string")
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows[:-1]
+    for stage in (suffix_dedup.without_repeats(kept), decontamination.without_leaks(kept, items)):
+        assert stage.columns == docs.columns and sorted(map(tuple, stage.collect())) == rows[:-1]

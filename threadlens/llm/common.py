@@ -34,6 +34,11 @@ def texts(df: DataFrame) -> Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 
 
+def named(df: DataFrame, column: str) -> Column:
+    """A column by its name as it is, dots and all."""
+    return df["`" + column.replace("`", "``") + "`"]
+
+
 def ship(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast an object with its class, as executors need not have this package; read it with ``shipped``."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -60,4 +65,4 @@ def labelled_sample(labels: DataFrame, label: str, kept: Column, per_class: int)
 def texts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """``(doc_id, label, text)`` of a bounded sample: its ids go to where the texts lie. Repeated rows count once."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), texts(docs).alias("text"))
-    return rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    return rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import prepared, texts
+from threadlens.llm.common import named, prepared, texts
 from threadlens.llm.components import components
 from threadlens.session import materialize
 
@@ -311,9 +311,16 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     """One row of ``docs`` for each component, that with the smallest id (null ids last; of equal ids, the smallest hash of
     the text; of equal rows, any); all columns stay."""
     prepared(docs.sparkSession)
-    keys = docs.withColumns({"_id": docs["doc_id"].cast("long"), "_hash": F.xxhash64(texts(docs))})
+    # The columns are out of the way in one struct, so that none can clash with the key.
+    rows = docs.select(
+        F.struct(*[named(docs, c) for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")).alias("id"),
+        docs["doc_id"].cast("long").isNull().alias("none"), F.xxhash64(texts(docs)).alias("hash"),
+    )
     stored = materialize(fingerprints(docs, shingle), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")).alias("key")
-    kept = stored.join(_components(stored, distance, bucket), "fp").groupBy("root").agg(least).select("key.doc_id", "key.hash")
-    found = keys.join(kept, keys["_id"].eqNullSafe(kept["doc_id"]) & (keys["_hash"] == kept["hash"]), "left_semi")
-    return found.dropDuplicates(["_id", "_hash"]).select(*[f"`{c}`" for c in docs.columns])
+    kept = stored.join(_components(stored, distance, bucket), "fp").groupBy("root").agg(least)
+    key = ["id", "none", "hash"]
+    kept = kept.select(F.coalesce("key.doc_id", F.lit(0).cast("long")).alias("id"), F.col("key.doc_id").isNull().alias("none"), "key.hash")
+    # Join and choice among equal rows deal the texts by the same key: once.
+    found = rows.join(kept, key, "left_semi").dropDuplicates(key)
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])

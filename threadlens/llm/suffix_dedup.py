@@ -29,8 +29,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from threadlens.llm.common import prepared, texts
+from threadlens.llm.common import named, prepared, texts
 from threadlens.llm.suffix_array import common_prefixes, suffix_array
 from threadlens.session import materialize
 
@@ -278,7 +279,7 @@ def _crowded(shipped: DataFrame, length: int) -> DataFrame:
 def _keyed(docs: DataFrame) -> DataFrame:
     """All columns, the text as bytes in ``text`` and the row's key in ``k``; other names are out of the way in ``row``."""
     text = texts(docs)
-    return docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), text.cast("binary").alias("text"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("k"))
+    return docs.select(F.struct(*[named(docs, c) for c in docs.columns if c != "text"]).alias("row"), text.cast("binary").alias("text"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("k"))
 
 
 def covered_ranges(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -336,8 +337,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, cr
             yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], names=["row", "n_bytes", "n_removed", "spans", "kept"])
 
     joined = dealt.join(ranges.hint("shuffle_hash"), "k", "left").select("row", "text", "k", "ranges")
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<low:long,size:long>>, kept binary"
-    return joined.mapInArrow(cut, schema)
+    found = T.StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<low:long,size:long>>, kept binary")
+    return joined.mapInArrow(cut, T.StructType([joined.schema["row"], *found.fields]))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, crowd: int = CROWD) -> DataFrame:
