@@ -317,6 +317,8 @@ def oracle_sql() -> dict[str, str]:
         "lsh_knn_docs": knn(DOCUMENT_BITS),
         "lsh_index_knn": knn(WORD_BITS),
         "exact_knn": knn(None),
+        "index_changes": with_views("vectors", f"SELECT id, {bucket('CAST(vec AS DOUBLE[])', WORD_BITS)} AS bucket, {vec_text('vec')} AS vec FROM held",
+            "held AS (SELECT id, CASE WHEN id%7=0 AND id%35<>0 THEN list_reverse(vec) ELSE vec END AS vec FROM vectors WHERE id%5<>0 OR id%35=0)"),
         "multiprobe_knn": probed_knn(DOCUMENT_BITS),
         "multiprobe_recall": " UNION ALL ".join(f"""SELECT {round(100 * share)} AS percent, count(*) AS wanted, count(f.id) AS hits
             FROM ({knn(None)}) e LEFT JOIN ({probed_knn(DOCUMENT_BITS, share)}) f ON e.request_id=f.request_id AND e.id=f.id""" for share in RECALL_SHARES),

@@ -9,7 +9,7 @@ from threadlens.functions import labels as lab
 from threadlens.functions.clean import register_sql_functions
 from threadlens.functions.text import html_to_text, tokenize
 from threadlens.functions.vector import add, dot_distance, subtract
-from threadlens.operators import corpus, embeddings, forests, joins, metrics, multiprobe, sampling, scoring, similarity, skipgram, threads, trees, words
+from threadlens.operators import corpus, embeddings, forests, joins, metrics, multiprobe, sampling, scoring, similarity, skipgram, threads, trees, vector_index, words
 from threadlens.operators.huffman import huffman_codes as codes_of
 from threadlens.operators.items import scored_stories, submission_corpus, typed_items
 from threadlens.plans.views import table, view
@@ -495,6 +495,21 @@ def multiprobe_recall(spark, d):
     return rows[0].union(rows[1]).union(rows[2])
 
 
+@query
+def index_changes(spark, d):
+    """The vector index after upserts (every 7th vector turned round), deletes (every 5th id), compaction and another upsert."""
+    vectors = view(spark, d, "vectors").select("id", "vec")
+    planes = similarity.hyperplanes(similarity.WORD_BITS, EMBEDDING_DIM)
+    index = vector_index.VectorIndex.create(vectors, planes, scratch_path(spark, "changing"))
+    turned = vectors.where("id % 7 = 0").withColumn("vec", F.reverse("vec"))
+    index.upsert("turned", turned)
+    index.delete("fifths", vectors.where("id % 5 = 0"))
+    index.upsert("turned", turned)  # a repeated commit counts once
+    index.compact()
+    index.upsert("back", vectors.where("id % 35 = 0"))
+    return index.rows().select("id", "bucket", vector_text(F.col("vec")).alias("vec"))
+
+
 @query
 def exact_knn(spark, d):
     return _found(similarity.nearest_exact(_centroids(spark, d), view(spark, d, "vectors")))
