@@ -96,3 +96,117 @@ def test_long_words_go(spark):
     rows = [(1, "comment", None, "one " + "x" * 50 + " " + "y" * 49)]
     found = comment_sentences(spark.createDataFrame(rows, "id long, type string, title string, text string")).collect()
     assert found[0].words == ["one", "y" * 49]
+
+
+def test_markup_that_is_not_plain(spark):
+    cases = {
+        '<a title="x>y">link</a>': "link",
+        "<a title='>' href=a\"b>link</a> it's": "link it's",
+        "<p title=it's>a<p>b": "a\nb",
+        "a<!-- b <p> c": "a",
+        "a<!-->b<!--->c<!-- x --!>d": "a b c d",
+        "a<script>b</scripty>c": "a",
+        "a<script>b</SCRIPT x='>'>c": "a c",
+        "<title>a <b> &amp; c</title>d": "a <b> & c d",
+        'a <b c="d': "a",
+        "a <b": "a",
+        "a </ b>c</>d<? e ?>f<!doctype html>g": "a c d f g",
+        "<pre>a</pre><P/>b<p\n>c": "a\nb\nc",
+        "<a b = 'c>' / d=>e": "e",
+        "&#0000000065;&#x00000042;": "AB",
+        "a<": "a<",
+        "a</": "a</",
+        "<a " + "b='>' " * 20000 + ">c": "c",
+        "<a x='" + ">" * 200000 + "'>c<!--" + "-" * 100000: "c",
+    }
+    for html, want in cases.items():
+        assert one(spark, html, tx.html_to_text) == want, html[:80]
+
+
+def read_markup(html):
+    """An independent reading: one character after the other, by the states of the HTML standard."""
+    out, i, n, space = [], 0, len(html), " \t\n\f\r"
+
+    def to_end_of_tag(i):
+        while i < n and html[i] != ">":
+            if html[i] in space + "/":
+                i += 1
+                continue
+            i += 1
+            while i < n and html[i] not in space + "/>=":
+                i += 1
+            j = i
+            while j < n and html[j] in space:
+                j += 1
+            if j == n or html[j] != "=":
+                continue
+            i = j + 1
+            while i < n and html[i] in space:
+                i += 1
+            if i < n and html[i] in "\"'":
+                quote, i = html[i], i + 1
+                while i < n and html[i] != quote:
+                    i += 1
+                i += 1
+            else:
+                while i < n and html[i] not in space + ">":
+                    i += 1
+        return min(i + 1, n)
+
+    while i < n:
+        ahead = html[i + 1:i + 2]
+        if html[i] != "<" or not (ahead.isalpha() or ahead in "!?/" and ahead) or html[i:] == "</":
+            out.append(html[i])
+            i += 1
+        elif html.startswith("<!--", i):
+            ends = [e for e in (html.find("-->", i + 2), html.find("--!>", i + 4)) if e >= 0]
+            if html.startswith("<!-->", i) or html.startswith("<!--->", i):
+                i = html.index(">", i) + 1
+            else:
+                i = html.index(">", min(ends)) + 1 if ends else n
+            out.append(" ")
+        elif ahead in "!?" or ahead == "/" and not html[i + 2].isalpha():
+            end = html.find(">", i + 2)
+            i = n if end < 0 else end + 1
+            out.append(" ")
+        else:
+            j = i + 1 + (ahead == "/")
+            k = j
+            while k < n and html[k] not in space + "/>":
+                k += 1
+            name, i = html[j:k].lower(), to_end_of_tag(k)
+            out.append("\n" if name == "p" and ahead != "/" else " ")
+            if ahead != "/" and name in ("script", "style", "title", "textarea"):
+                end = i
+                while end < n and not (html[end:end + len(name) + 2].lower() == "</" + name and html[end + len(name) + 2:end + len(name) + 3] in [*space, "/", ">"]):
+                    end += 1
+                if name in ("title", "textarea"):
+                    out.append(html[i:end])
+                out.append(" ")
+                i = to_end_of_tag(end + len(name) + 2) if end < n else n
+    lines = [" ".join(line.replace("\f", " ").split()) for line in "".join(out).split("\n")]
+    return "\n".join(line for line in lines if line)
+
+
+def test_markup_against_an_independent_reader(spark):
+    import random
+
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from threadlens.plans.oracles import plain_text
+
+    rng = random.Random(5)
+    parts = ["<", ">", "<p", "<p>", "</p>", "<a href=", '"', "'", "=", " ", "\n", "x", "yz", "<!--", "-->", "--!>", "-", "<script>", "</script", "</script>", "<style a='>'>",
+             "</style>", "<title>", "</title >", "<textarea/>", "</textarea>", "</", "/", "<!", "?", "<b>", "<br/>", "<scripty>"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    found = spark.createDataFrame([(i, h) for i, h in enumerate(pages)], "i int, h string").select("i", tx.html_to_text(F.col("h")).alias("t"))
+    got = dict(found.collect())
+    wrong = [(h, got[i], read_markup(h)) for i, h in enumerate(pages) if got[i] != read_markup(h)]
+    assert not wrong, wrong[:5]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE pages (i INT, h VARCHAR)")
+    connection.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(pages)))
+    by_sql = dict(connection.sql(f"SELECT i, {plain_text('h')} FROM pages").fetchall())
+    wrong = [(h, got[i], by_sql[i]) for i, h in enumerate(pages) if got[i] != by_sql[i]]
+    assert not wrong, wrong[:5]

@@ -17,11 +17,21 @@ MAX_WORD_LENGTH = 50
 # All named entities of HTML, by name without the semicolon, from the standard library's table.
 NAMED_ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
 
-# Fixed patterns of the markup.
-INVISIBLE = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->"
-PARAGRAPH_TAG = r"(?i)<p\b[^>]*>"
-ANY_TAG = r"</?[a-zA-Z!?][^>]*>"
-
+# Markup as a regular grammar of the HTML standard's tokenizer states. All loops are possessive: a place in a page is
+# read in one way only, so the time is linear and no long attribute needs a deep stack. The end of the page closes
+# whatever is open.
+BLANK = r"[ \t\n\f\r]"
+VALUE = rf"""{BLANK}*+=(?:{BLANK}*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|(?!["'])[^ \t\n\f\r>]*+))"""
+ATTRIBUTES = rf"(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:{VALUE})?+)*+(?:>|\z)"
+NAME_END = r"(?=[ \t\n\f\r/>])"
+COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\z))"
+HIDDEN = rf"<(script|style){NAME_END}{ATTRIBUTES}.*?(?:</\1{NAME_END}{ATTRIBUTES}|\z)"
+LITERAL = rf"<(title|textarea){NAME_END}{ATTRIBUTES}(.*?)(?:</\2{NAME_END}{ATTRIBUTES}|\z)"  # text in which nothing is a tag
+PARAGRAPH_TAG = rf"<(p){NAME_END}{ATTRIBUTES}"
+ANY_TAG = rf"</?[a-z][^ \t\n\f\r/>]*+{ATTRIBUTES}"
+DECLARATION = r"<[!?][^>]*+(?:>|\z)|</[^a-z>][^>]*+(?:>|\z)|</>"
+MARKUP = "(?is)" + "|".join([COMMENT, HIDDEN, LITERAL, PARAGRAPH_TAG, ANY_TAG, DECLARATION])
+NUL = "\0"  # not allowed in HTML, so it can stand for a piece of markup
 
 def tokenize(c: Column, lower: bool = True) -> Column:
     words = F.split(F.lower(c) if lower else c, WHITE_SPACE)
@@ -38,12 +48,12 @@ def _entity(piece: Column) -> Column:
     table = F.from_json(F.lit(json.dumps(NAMED_ENTITIES)), "map<string,string>")
     name = F.regexp_extract(piece, "^([a-zA-Z][a-zA-Z0-9]*);", 1)
     named = F.when(name != "", F.concat(F.try_element_at(table, name), F.substr(piece, F.length(name) + F.lit(2))))
-    hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
-    deci = F.regexp_extract(piece, r"^#([0-9]{1,7});", 1)
+    hexa = F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]{1,6});", 1)
+    deci = F.regexp_extract(piece, r"^#0*([0-9]{1,7});", 1)
     code = F.when(hexa != "", F.conv(hexa, 16, 10)).when(deci != "", deci).cast("int")
     known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
     char = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
-    rest = F.regexp_replace(piece, r"^#[xX]?[0-9a-fA-F]{1,7};", "")
+    rest = F.regexp_replace(piece, r"^#[xX]?[0-9a-fA-F]+;", "")
     return F.coalesce(named, F.when(known, F.concat(char, rest)), F.concat(F.lit("&"), piece))
 
 
@@ -54,10 +64,16 @@ def decode_entities(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    """Visible text; a paragraph tag starts a new line, other tags separate words."""
-    text = F.regexp_replace(c, INVISIBLE, " ")
-    text = F.regexp_replace(text, PARAGRAPH_TAG, "\n")
-    text = F.regexp_replace(text, ANY_TAG, " ")
+    """Visible text; a paragraph tag starts a new line, other tags separate words.
+
+    Quoted attributes may hold ``>``; comments, scripts and styles go whole; a title's or text area's content stays as it
+    is; a tag, comment or script without an end reaches to the end of the page. NUL characters are dropped. A script
+    inside a comment inside a script ends where the first one ends.
+    """
+    # Markup becomes NUL, paragraph's name, NUL, literal content: one pass, so that no text is read as markup again.
+    text = F.regexp_replace(F.replace(c, F.lit(NUL), F.lit("")), MARKUP, f"{NUL}$4{NUL}$3 ")
+    text = F.regexp_replace(text, f"{NUL}[pP]{NUL}", "\n")
+    text = F.replace(text, F.lit(NUL), F.lit(" "))
     text = decode_entities(text)
     text = F.regexp_replace(text, "[ \\t\\r\\f\\x0B\\xA0]+", " ")
     text = F.regexp_replace(text, " ?\\n[ \\n]*", "\n")

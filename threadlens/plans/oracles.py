@@ -42,21 +42,32 @@ ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos":
 
 
 def plain_text(html: str) -> str:
-    """HTML to text; the entity step works on the pieces between ampersands, invisible elements go kind by kind."""
-    t = html
-    for hidden in ("<!--.*?-->", "<script\\b[^>]*>.*?</script\\s*>", "<style\\b[^>]*>.*?</style\\s*>"):
-        t = f"regexp_replace({t}, '(?is){hidden}', ' ', 'g')"
-    t = f"regexp_replace({t}, '(?i)<p\\b[^>]*>', chr(10), 'g')"
-    t = f"regexp_replace({t}, '</?[a-zA-Z!?][^>]*>', ' ', 'g')"
-    code = ("coalesce(try_cast('0x'||regexp_extract(p,'^#[xX]([0-9a-fA-F]{1,6});',1) AS INT),"
-            "try_cast(regexp_extract(p,'^#([0-9]{1,7});',1) AS INT))")
+    """HTML to text: the page is cut into a list of tokens, each becomes its text, entities go by the pieces between
+    ampersands."""
+    blank = r"[ \t\n\f\r]"
+    value = f"""{blank}*=(?:{blank}*(?:"[^"]*(?:"|\\z)|''[^'']*(?:''|\\z)|[^ \\t\\n\\f\\r>"''][^ \\t\\n\\f\\r>]*|))"""
+    inside = rf"(?:[ \t\n\f\r/]+|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*(?:{value})?)*(?:>|\z)"
+    tag = lambda name: rf"<{name}(?:[ \t\n\f\r/]{inside}|>)"
+    whole = lambda name: rf"{tag(name)}.*?(?:{tag('/' + name)}|\z)"
+    kinds = [r"<!---?>", r"<!--.*?(?:--!?>|\z)", *map(whole, ("script", "style", "title", "textarea")), rf"</?[a-z][^ \t\n\f\r/>]*{inside}",
+             r"<[!?][^>]*(?:>|\z)", r"</[^a-z>][^>]*(?:>|\z)", "</>", "[^<]+", "<"]
+    content = lambda name: f"regexp_extract(t, '(?is)^{tag(name)}(.*?)(?:{tag('/' + name)})?$', 1)"
+    text = f"""CASE WHEN t = '<' OR t NOT LIKE '<%' THEN t
+        WHEN regexp_matches(t, '(?i)^<p[ \\t\\n\\f\\r/>]') THEN chr(10)
+        WHEN regexp_matches(t, '(?i)^<title[ \\t\\n\\f\\r/>]') THEN ' '||{content('title')}||' '
+        WHEN regexp_matches(t, '(?i)^<textarea[ \\t\\n\\f\\r/>]') THEN ' '||{content('textarea')}||' '
+        ELSE ' ' END"""
+    t = f"""coalesce(array_to_string(list_transform(regexp_extract_all({html}, '(?is){"|".join(kinds)}'), lambda t: {text}), ''), '')"""
+    t = f"CASE WHEN {html} IS NOT NULL THEN {t} END"
+    code = ("coalesce(try_cast('0x'||regexp_extract(p,'^#[xX]0*([0-9a-fA-F]{1,6});',1) AS INT),"
+            "try_cast(regexp_extract(p,'^#0*([0-9]{1,7});',1) AS INT))")
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     names = "MAP {" + ", ".join(f"{quoted(n)}: {quoted(c)}" for n, c in sorted(ENTITIES.items())) + "}"
     name = "regexp_extract(p,'^([a-zA-Z][a-zA-Z0-9]*);',1)"
     piece = f"""CASE WHEN i=1 THEN p
         WHEN {name} <> '' AND {names}[{name}] IS NOT NULL THEN {names}[{name}]||substr(p,length({name})+2)
         WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111
-          THEN chr({code})||regexp_replace(p,'^#[xX]?[0-9a-fA-F]{{1,7}};','')
+          THEN chr({code})||regexp_replace(p,'^#[xX]?[0-9a-fA-F]+;','')
         ELSE '&'||p END"""
     t = f"array_to_string(list_transform(string_split({t}, '&'), lambda p, i: {piece}), '')"
     t = f"regexp_replace({t}, '[ \\t\\r\\f\\x0B\\xA0]+', ' ', 'g')"
