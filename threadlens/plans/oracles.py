@@ -399,6 +399,7 @@ def oracle_sql() -> dict[str, str]:
             stored AS (SELECT id, vec, {bucket('CAST(vec AS DOUBLE[])', WORD_BITS)} AS bucket FROM vectors),
             near AS (SELECT request_id, id, round(1-list_dot_product(a.vec, CAST(s.vec AS DOUBLE[])),9) AS distance FROM asked a JOIN stored s USING (bucket))"""),
         "score_titles": "SELECT item_id AS request_id, 0 AS pos, text AS sentence, true AS tfidf, true AS docvec, true AS docvec2, 100 AS width FROM benchmark",
+        "score_stream": "SELECT CAST(item_id AS VARCHAR) AS request_id, 0 AS pos, text AS sentence, 1 AS results, true AS as_batch FROM benchmark",
         "mse_metric": """SELECT count(*) AS n, round(avg(pow(o_totalprice-(150000.0::DOUBLE+o_custkey%1000),2)),2) AS mse FROM orders""",
         "error_rates": """SELECT round(count(*) FILTER (quality=0 AND toxic<>0)/nullif(count(*) FILTER (quality=0),0)::DOUBLE,6) AS false_positive,
             round(count(*) FILTER (quality=1 AND toxic<>1)/nullif(count(*) FILTER (quality=1),0)::DOUBLE,6) AS false_negative FROM labels""",

@@ -15,6 +15,7 @@ from threadlens.operators.items import scored_stories, submission_corpus, typed_
 from threadlens.plans.views import table, view
 from threadlens.session import materialize, prepare, scratch_path, spread
 from threadlens.sources import export, items as item_files, models as model_files, tsv, vectors as vector_files
+from threadlens.streaming import scoring as stream_scoring
 
 EMBEDDING_DIM = 64
 SAMPLE_SIZE = 500
@@ -754,20 +755,43 @@ def similar_titles(spark, d):
     return found.select("request_id", "rank", "id", F.md5("title").alias("title"), micro(F.col("sim")).alias("sim_micro"))
 
 
-@query
-def score_titles(spark, d):
-    """Three scores for each benchmark passage, from models trained on the stories."""
+def _score_models(spark, d) -> scoring.ScoreModels:
+    """Models trained on the stories."""
     stories = view(spark, d, "stories").withColumn("id", F.col("id") - 1)
     model = _paragraphs(spark, d)
-    models = scoring.ScoreModels(
+    return scoring.ScoreModels(
         forests.tfidf_forest(_story_words(spark, d)).model,
         forests.score_log_forest(stories, model.documents).model,
         forests.score_raw_forest(stories, model.documents).model,
         model.words,
     )
+
+
+@query
+def score_titles(spark, d):
+    """Three scores for each benchmark passage, from models trained on the stories."""
+    models = _score_models(spark, d)
     sentences = table(spark, d, "benchmark").select(
         F.col("item_id").alias("request_id"), F.lit(0).alias("pos"), F.col("text").alias("sentence")
     )
     scored = scoring.score_titles(sentences, models, embeddings.DIMENSION)
     inside = lambda c: F.col(c).between(0, 499.0001).alias(c)
     return scored.select("request_id", "pos", "sentence", inside("tfidf"), inside("docvec"), inside("docvec2"), F.size("vec").alias("width"))
+
+
+@query
+def score_stream(spark, d):
+    """Benchmark passages that arrive as files, a part of them twice, some late and after a restart: one result each, the
+    one of the batch job."""
+    models = _score_models(spark, d)
+    requests = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("request_id"), F.array("text").alias("sentences"))
+    asked, found, state = (scratch_path(spark, f"stream-{part}") for part in ("requests", "scores", "state"))
+    for arriving in (requests.where("crc32(request_id) % 3 <> 0"), requests):
+        arriving.write.mode("append").json(asked)
+        sentences = stream_scoring.once_each(stream_scoring.read_request_stream(spark, asked))
+        stream_scoring.score_stream(sentences, models, embeddings.DIMENSION, found, state, once=True).awaitTermination()
+    scores = ["tfidf", "docvec", "docvec2"]
+    batch = scoring.score_titles(scoring.unfold_requests(requests), models, embeddings.DIMENSION)
+    both = spark.read.parquet(found).join(batch.select("request_id", "pos", *[F.col(c).alias(f"batch_{c}") for c in scores]), ["request_id", "pos"])
+    near = [F.max(F.abs(F.col(c) - F.col(f"batch_{c}"))) < 1e-6 for c in scores]
+    return both.groupBy("request_id", "pos", "sentence").agg(F.count("*").alias("results"), (near[0] & near[1] & near[2]).alias("as_batch"))
