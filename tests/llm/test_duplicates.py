@@ -196,7 +196,8 @@ def plain_order_minhash(spark, texts):
     hash_of = lambda rows, schema, expr: [r[0] for r in spark.createDataFrame(rows, schema).selectExpr(expr).collect()]
     out = []
     for text in texts:
-        tokens = re.findall(r"[^ \t\n\x0b\f\r]{1,8}", text or "")
+        runs = re.findall(r"[^ \t\n\x0b\f\r]+", text or "")
+        tokens = [t for r in runs for t in ([r] if len(r) <= 32 else [r[i : i + 8] for i in range(len(r) - 7)])]
         if not tokens:
             out.append("0" * 256)
             continue
@@ -292,6 +293,19 @@ def test_order_matters_more_than_words(spark):
     assert near("edited") > 0.6 > 0.3 > near("shuffled")
 
 
+def test_unspaced_text_keeps_its_likeness(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(10)
+    own = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(4000))
+    code = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ+/0123456789") for _ in range(4000))
+    rows = [("a", own, own[:20] + "x" + own[20:]), ("b", code, code[:7] + code[8:]), ("c", "x" * 32 + " y", "x" * 33 + " y"), ("d", own, own[::-1])]
+    df = spark.createDataFrame(rows, "name string, one string, two string")
+    both = order_minhash.with_fingerprint(order_minhash.with_fingerprint(df, F.col("one"), "f"), F.col("two"), "g")
+    near = dict(both.select("name", order_minhash.likeness(F.col("f"), F.col("g"))).collect())
+    assert near["a"] > 0.9 and near["b"] > 0.9 and near["c"] < 1 and near["d"] < 0.3
+
+
 # --- decontamination ------------------------------------------------------------------------------
 
 

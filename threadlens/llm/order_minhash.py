@@ -1,7 +1,8 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
-A text is cut into tokens, runs of up to ``TOKEN`` characters without white space, and every run of
-``K`` tokens is a k-mer. Equal k-mers of a text are numbered as they occur, so that how often one
+A text is cut into tokens, and every run of ``K`` tokens is a k-mer. Characters without white space between
+them are one token if they are at most ``RUN``; of longer ones (text of a script without spaces, encoded
+bytes) every ``TOKEN`` characters in a row are a token, overlapping, so that one put in moves no others. Equal k-mers of a text are numbered as they occur, so that how often one
 occurs counts. Each numbered k-mer has a place on a ring of 2^32 points. For each of ``WIDTH`` evenly
 spaced marks the ``L`` numbered k-mers that follow the mark on the ring are its minimal ones (an order
 of its own for every mark); they are put back into text order, and the hash of that tuple is one entry
@@ -24,7 +25,8 @@ from pyspark.sql.window import Window
 
 from threadlens.llm.common import prepared, texts
 
-TOKEN = 8  # characters of a token
+RUN = 32  # characters of the longest word that is one token
+TOKEN = 8  # characters of a token in longer ones
 K = 3  # tokens of a k-mer
 L = 2  # k-mers of a tuple
 WIDTH = 64  # entries of a signature
@@ -52,11 +54,19 @@ def _indexes(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _token_hashes(words: Column) -> Column:
+    """Hashes of all tokens of the words, in text order."""
+    is_long = lambda w: F.char_length(w) > RUN
+    windows = lambda w: F.regexp_extract_all(w, F.lit(rf"(?=(\S{{{TOKEN}}}))"), F.lit(1))
+    tokens = F.flatten(F.transform(words, lambda w: F.when(is_long(w), windows(w)).otherwise(F.array(w))))
+    return F.transform(F.when(F.exists(words, is_long), tokens).otherwise(words), lambda t: F.xxhash64(t))
+
+
 def with_fingerprint(df: DataFrame, text: Column, name: str = "fingerprint") -> DataFrame:
     """Add the fingerprint of ``text`` as a string of WIDTH * DIGITS hexadecimal digits."""
     kept = [df[c] for c in df.columns]
-    out = df.select(*kept, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0)).alias("_words"))
-    out = out.select(*df.columns, F.transform("_words", lambda w: F.xxhash64(w)).alias("_words"))
+    out = df.select(*kept, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0)).alias("_words"))
+    out = out.select(*df.columns, _token_hashes(F.col("_words")).alias("_words"))
 
     # k-mers, packed with their place and sorted: equal ones lie together, in text order.
     def kmer(i: Column) -> Column:
