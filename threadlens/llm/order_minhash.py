@@ -137,8 +137,7 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     width = isqrt(len(bounds)) + 1
     groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    rows = F.split(F.lit(";".join(",".join(map(str, g)) for g in groups)), ";")
-    table = F.transform(rows, lambda r: F.split(r, ",").cast("array<bigint>"))
+    table = F.array(*[_numbers(g) for g in groups])  # a lambda over rows of text would not be folded
     upper = F.size(F.filter(_numbers([g[0] for g in groups]), lambda b: b <= key))
     lower = F.size(F.filter(F.element_at(table, upper), lambda b: b <= key))
     return F.when(key.isNull() | (key < bounds[0]), 0).otherwise((upper - 1) * width + lower)
