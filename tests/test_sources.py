@@ -128,6 +128,17 @@ def test_json_arrays(spark, tmp_path):
     assert (2, "é") in [tuple(r) for r in words]
 
 
+def test_json_arrays_in_several_files(spark, tmp_path):
+    values = [f'v{i}, "x"\n' if i % 5 else None for i in range(23)]
+    rows = spark.createDataFrame(list(enumerate(values)), "position long, value string").repartition(3)
+    for size in (1, 7, 23, 100):
+        path = str(tmp_path / f"a{size}")
+        vectors.write_json_arrays(rows, path, size)
+        files = sorted((int(f.parent.name.split("=")[1]), json.loads(f.read_text())) for f in (tmp_path / f"a{size}").glob("*/*.txt"))
+        assert [v for _, part in files for v in part] == values and max(len(part) for _, part in files) <= size
+        assert [tuple(r) for r in vectors.read_json_array(spark, path).orderBy("position").collect()] == list(enumerate(values))
+
+
 def test_models_do_not_share_a_folder(spark, tmp_path):
     from pyspark.ml import Pipeline
     from threadlens.operators.forests import regressor, with_features

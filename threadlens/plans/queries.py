@@ -12,6 +12,7 @@ from threadlens.functions.vector import add, dot_distance, subtract
 from threadlens.operators import corpus, embeddings, forests, joins, metrics, multiprobe, sampling, scoring, similarity, skipgram, threads, trees, vector_index, words
 from threadlens.operators.huffman import huffman_codes as codes_of
 from threadlens.operators.items import scored_stories, submission_corpus, typed_items
+from threadlens.operators.ranking import with_position
 from threadlens.plans.views import table, view
 from threadlens.session import materialize, prepare, scratch_path, spread
 from threadlens.sources import export, items as item_files, models as model_files, tsv, vectors as vector_files
@@ -155,16 +156,17 @@ def typed_items_sql(spark, d):
 
 @query
 def json_titles(spark, d):
-    """Titles and words as JSON arrays, written by position and read back; the format makes an array one record."""
+    """Titles and words as JSON arrays, written by position in files of bounded length and read back."""
     titles = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"))
-    both = titles.agg(F.sort_array(F.collect_list(F.struct("id", "title"))).alias("rows"))
+    ranked = with_position(titles, [F.col("id"), F.col("title")])
+    terms = titles.transform(corpus.each(tokenize(F.col("title")), "value")).distinct()
     parts = {
-        "ids": F.transform("rows", lambda r: r["id"]), "titles": F.transform("rows", lambda r: r["title"]),
-        "words": F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: tokenize(r["title"]))))),
+        "ids": ranked.select("position", F.col("id").alias("value")), "titles": ranked.select("position", F.col("title").alias("value")),
+        "words": with_position(terms, [F.col("value")]),
     }
     paths = {name: scratch_path(spark, name) for name in parts}
     for name, values in parts.items():
-        both.select(F.to_json(values)).coalesce(1).write.text(paths[name])
+        vector_files.write_json_arrays(values, paths[name], values_a_file=50)
     found = vector_files.read_titles(spark, paths["ids"], paths["titles"])
     words = vector_files.read_index_words(spark, paths["words"]).withColumnRenamed("word", "title")
     return found.select("id", "title", F.lit("title").alias("kind")).union(words.select("word_id", "title", F.lit("word").alias("kind")))
