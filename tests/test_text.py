@@ -57,6 +57,44 @@ def test_vocabulary_cap_and_ties(spark):
     assert sorted(r.word for r in corpus.vocabulary(docs, min_count=2).collect()) == ["a", "b", "c"]
 
 
+def test_frequent_words_by_summaries(spark, monkeypatch, request):
+    import random
+    from collections import Counter
+
+    from threadlens.operators import frequent
+
+    rng = random.Random(8)
+    ranks, weights = range(3000), [1 / (i + 1) for i in range(3000)]
+    rows = [(i, [f"w{r}" for r in rng.choices(ranks, weights, k=40)] + [None]) for i in range(2000)]
+    docs = spark.createDataFrame([*rows, (-1, None), (-2, [])], "id long, words array<string>").repartition(4)
+    # Small batches, so that full summaries are cut often.
+    monkeypatch.setattr(frequent, "LEAST_COUNTERS", 100)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    request.addfinalizer(lambda: spark.conf.set(batch, before))
+    spark.conf.set(batch, "50")
+    true = Counter(w for _, words in rows for w in words if w)
+    sums = Counter()
+    for r in frequent.summaries(docs, "words", 300).collect():
+        sums[r.word] += r.n
+    error = sums.pop(None)
+    assert error > 0 and all(sums[w] <= n <= sums[w] + error for w, n in true.items())
+    want = sorted(true.items(), key=lambda x: (-x[1], x[0]))
+    for size, told in ((10, True), (20, True), (3000, True), (5000, True)):
+        known = frequent.candidates(docs, "words", size)
+        assert (known is not None) == told
+        assert {w for w, _ in want[:size]} <= {r.word for r in known.collect()}
+        got = corpus.vocabulary(docs, size=size).orderBy("word_id").collect()
+        assert [(r.word, r.n) for r in got] == want[:size]
+    assert frequent.candidates(docs, "words", 10).count() < 500 < len(true)
+    # Where the error hides the last words the plain way answers.
+    monkeypatch.setattr(frequent, "COUNTERS_A_WORD", 1)
+    assert frequent.candidates(docs, "words", 400) is None
+    assert [(r.word, r.n) for r in corpus.vocabulary(docs, size=400).orderBy("word_id").collect()] == want[:400]
+    nothing = docs.where("id < 0")
+    assert corpus.vocabulary(nothing, size=5).collect() == [] and corpus.vocabulary(nothing, size=0).collect() == []
+
+
 def test_vocabulary_with_a_hot_word_over_partitions(spark):
     words = ["hot"] * 500 + [f"w{i % 97}" for i in range(1000)]
     docs = spark.createDataFrame([(i, [w]) for i, w in enumerate(words)], "id long, words array<string>")

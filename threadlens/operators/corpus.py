@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import html_to_text, paragraphs, short_words, tokenize
+from threadlens.operators.frequent import candidates
 from threadlens.operators.items import comments, submission_corpus
 from threadlens.operators.ranking import with_position
 
@@ -47,11 +48,22 @@ def word_counts(df: DataFrame, words: str = "words") -> DataFrame:
     return df.transform(each(F.col(words), "word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def counts_of(df: DataFrame, known: DataFrame, words: str = "words") -> DataFrame:
+    """``(word, n)`` of some words, few enough to broadcast."""
+    rows = df.transform(each(F.col(words), "word"))
+    return rows.join(F.broadcast(known), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+
+
 def vocabulary(
     df: DataFrame, words: str = "words", size: int | None = None, min_count: int = 1
 ) -> DataFrame:
-    """``(word_id, word, n)``, most frequent first, ties in word order; all words, or exactly the first ``size``."""
-    counts = word_counts(df, words).where(F.col("n") >= min_count)
+    """``(word_id, word, n)``, most frequent first, ties in word order; all words, or exactly the first ``size``.
+
+    With ``size`` only words that can be among them are shuffled, if summaries of bounded size can tell which; the words
+    are then read twice.
+    """
+    known = None if size is None else candidates(df, words, size)
+    counts = (word_counts(df, words) if known is None else counts_of(df, known, words)).where(F.col("n") >= min_count)
     ranked = with_position(counts, [F.desc("n"), F.col("word")], "word_id").select("word_id", "word", "n")
     return ranked if size is None else ranked.where(F.col("word_id") < size)
 
