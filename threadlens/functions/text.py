@@ -17,9 +17,8 @@ MAX_WORD_LENGTH = 50
 # All named entities of HTML, by name without the semicolon, from the standard library's table.
 NAMED_ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
 
-# Markup as a regular grammar of the HTML standard's tokenizer states. All loops are possessive: a place in a page is
-# read in one way only, so the time is linear and no long attribute needs a deep stack. The end of the page closes
-# whatever is open.
+# Markup as a regular grammar of the HTML standard's tokenizer states. Loops inside tags are possessive and those up
+# to an end mark lazy, so no long attribute or comment needs a deep stack. The end of the page closes whatever is open.
 BLANK = r"[ \t\n\f\r]"
 VALUE = rf"""{BLANK}*+=(?:{BLANK}*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|(?!["'])[^ \t\n\f\r>]*+))"""
 ATTRIBUTES = rf"(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:{VALUE})?+)*+(?:>|\z)"
