@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from threadlens.operators.intervals import lies_below, thread_intervals
 from threadlens.operators.threads import thread_ancestors, thread_edges, thread_roots
 
 EDGES = "id long, parent long"
@@ -90,3 +91,54 @@ def test_random_forests_with_a_hot_parent(spark, seed, partitions):
         assert r.depth == len(r.path) and r.root == (r.path[0] if r.path else None)
         assert not r.path or r.path[-1] == parents[i]
     assert {i: r.root for i, r in by_id(thread_roots(rows).nodes).items()} == {i: p[0] if p else None for i, p in want.items()}
+
+
+def walked(parents):
+    """Brute force: (thread, enter, leave) of every node that a root leads to, by walking through all trees."""
+    children = {}
+    for child, parent in parents.items():
+        children.setdefault(parent, []).append(child)
+    out = {}
+    for root in (set(parents.values()) - set(parents)):
+        clock, open_nodes = 0, [(root, False)]
+        while open_nodes:
+            node, left = open_nodes.pop()
+            if left:
+                out[node] += (clock,)
+            else:
+                out[node] = (root, clock)
+                open_nodes.append((node, True))
+                open_nodes += [(c, False) for c in sorted(children.get(node, []), reverse=True)]
+            clock += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_intervals_against_a_walk(spark, seed):
+    pick = random.Random(seed)
+    parents = {n: pick.randint(1, n - 1) for n in range(2, 60)}  # one tree
+    parents |= {n: 100 for n in range(101, 160)}  # a popular parent
+    parents |= {n: n - 1 for n in range(201, 300)}  # a chain
+    parents |= {400: 401, 401: 402, 402: 400, 403: 400, 404: 403}  # a cycle and what hangs off it
+    parents |= {-7: 5, 0: 5, -8: 150}  # leaves whose ids are no parents
+    rows = list(parents.items())
+    pick.shuffle(rows)
+    edges = spark.createDataFrame([*rows, *rows[:20], (101, 130), (None, 3), (8, None)], EDGES)
+    found = thread_intervals(edges.repartition(1 + 2 * seed))
+    wanted = walked(parents)
+    nodes = by_id(found.nodes)
+    assert {i: (r.thread, r.enter, r.leave) for i, r in nodes.items()} == wanted
+    assert all(r.size == 1 + sum(w[0] == r.thread and r.enter < w[1] < r.leave for w in wanted.values()) for r in nodes.values())
+    assert sorted(r.id for r in found.cyclic_ids.collect()) == [400, 401, 402, 403, 404]
+    paths = expected(parents)
+    pairs = [(pick.choice(list(paths)), pick.choice(list(paths))) for _ in range(300)] + [(59, 59), (999, 1), (5, 999), (-7, 5), (None, 1)]
+    below = lies_below(spark.createDataFrame(pairs, "id long, ancestor long"), found.nodes).collect()
+    assert len(below) == len(pairs)
+    assert all(r.below == (r.ancestor in (paths.get(r.id) or [])) for r in below)
+
+
+def test_intervals_of_no_edges_and_large_ids(spark):
+    none = thread_intervals(spark.createDataFrame([], EDGES))
+    assert none.nodes.count() == 0 and none.cyclic_ids.count() == 0
+    with pytest.raises(Exception, match="within 2\\^60"):
+        thread_intervals(spark.createDataFrame([(1 << 61, 3)], EDGES)).nodes.collect()

@@ -124,6 +124,11 @@ ANCESTRY = """tree AS (
 
 THREADS = "SELECT id, root, depth, array_to_string(path, ',') AS path FROM tree"
 
+# Every node has entered once before it is reached, and all but its ancestors have left.
+INTERVALS = """SELECT t.id, coalesce(t.root, t.id) AS thread, 2*before-depth AS enter, 2*(before+size)-depth-1 AS leave, size
+  FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(root, id) ORDER BY list_append(path, id))-1 AS before FROM tree) t
+  JOIN (SELECT id, count(*) AS size FROM (SELECT unnest(list_append(path, id)) AS id FROM tree) GROUP BY id) s ON t.id=s.id"""
+
 SCORED = "type='story' AND score IS NOT NULL AND title IS NOT NULL"
 
 COMMENTED = f"""commented AS (SELECT id, CASE WHEN coalesce(descendants,0)>0 THEN 1 WHEN coalesce(descendants,0)=0 THEN 0 END AS label
@@ -285,6 +290,10 @@ def oracle_sql() -> dict[str, str]:
         "thread_ancestors_items": ancestry("thread_items", "thread_items", THREADS),
         "thread_ancestors_deep": ancestry("user_chains", "user_chains", THREADS),
         "thread_root": with_views("event_tree", "SELECT id, root, depth FROM tree", f"edges AS (SELECT * FROM event_tree), {ANCESTRY}", recursive=True),
+        "thread_intervals": ancestry("part_links", "part_links", INTERVALS),
+        "thread_lies_below": with_views("event_tree", """SELECT id, CAST(floor(id / 7.0) AS BIGINT) + 1 AS ancestor,
+            list_contains(path, CAST(floor(id / 7.0) AS BIGINT) + 1) AS below FROM tree WHERE root IS NOT NULL""",
+            f"edges AS (SELECT * FROM event_tree), {ANCESTRY}", recursive=True),
         "thread_cycles": ancestry("part_links", "part_links", "SELECT id FROM edges WHERE id NOT IN (SELECT id FROM tree)"),
         "scored_story_rows": with_views("stories", f"SELECT id, title, score FROM stories WHERE {SCORED}"),
         "submission_titles": with_views("stories", "SELECT id, title FROM stories WHERE type='story' AND title IS NOT NULL AND id IS NOT NULL"),

@@ -9,7 +9,7 @@ from threadlens.functions import labels as lab
 from threadlens.functions.clean import register_sql_functions
 from threadlens.functions.text import html_to_text, tokenize
 from threadlens.functions.vector import add, dot_distance, subtract
-from threadlens.operators import corpus, embeddings, forests, joins, metrics, multiprobe, sampling, scoring, similarity, skipgram, threads, trees, vector_index, words
+from threadlens.operators import corpus, embeddings, forests, intervals, joins, metrics, multiprobe, sampling, scoring, similarity, skipgram, threads, trees, vector_index, words
 from threadlens.operators.huffman import huffman_codes as codes_of
 from threadlens.operators.items import scored_stories, submission_corpus, typed_items
 from threadlens.operators.ranking import with_position
@@ -266,6 +266,20 @@ def thread_cycles(spark, d):
     return threads.thread_ancestors(threads.thread_edges(view(spark, d, "part_links"))).cyclic_ids
 
 
+@query
+def thread_intervals(spark, d):
+    """Links among parts hold cycles; the parts outside of them get their intervals."""
+    return intervals.thread_intervals(threads.thread_edges(view(spark, d, "part_links"))).nodes
+
+
+@query
+def thread_lies_below(spark, d):
+    """Every event of a tree is asked whether it lies below the event of a seventh of its number."""
+    edges = materialize(view(spark, d, "event_tree"), "event-tree")
+    seventh = F.floor(F.col("id") / 7).cast("bigint") + 1
+    return intervals.lies_below(edges.select("id", seventh.alias("ancestor")), intervals.thread_intervals(edges).nodes)
+
+
 # --- selections, labels, samples ------------------------------------------------------------------
 
 
