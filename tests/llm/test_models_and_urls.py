@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from conftest import words
 
+from pyspark.sql import functions as F
+
 from threadlens.llm import oracles, quality, queries, toxicity, url_filter
 
 
@@ -170,6 +172,8 @@ def test_awkward_urls(spark, duck):
         None, "", "no scheme", "http://", "http://X.Net", "http://x.net/", "HTTP://A.B.EXAMPLE.NET/en/x?y=/de/#z", "http://example.com/de", "http://example.com/de/",
         "http://notexample.com/de/", "http://example.com:8080/de/", "x://org/fr/?a", "http://a.org/fr/://b.net/", "http://É.net/", "http://net", "http://net/\nx", "http://a?b/c",
         "http://bad.example.com/1", "http://bad.example.com/1", "http://bad.example.com/2", "http://fine.org/1",
+        "http://u:p@a.bad.co.uk:80/", "http://b.good.co.uk/", "http://co.uk/", "http://uk/", "http://aco.uk/", "http://10.0.0.1/", "http://10.0.0.2:8080/x",
+        "http://[::1]:80/", "http://example.com./", "http://a..b/", "http://@/", "http://:80/", "http://.co.uk./",
     ]
     rows = [(n % 19 if n else None, u) for n, u in enumerate(urls * 3)] + [(1000 + n, f"http://bad.example.com/{n}") for n in range(200)]
     rows += [(2000 + n, f"http://h{n % 40}.example.org/{n}") for n in range(400)]
@@ -189,6 +193,27 @@ def test_awkward_urls(spark, duck):
     assert url_filter.judge(pages.limit(0), url_filter.labelled_pages(labels)).collect() == []
 
 
+def test_registered_domains(spark):
+    wanted = {
+        "a.bad.co.uk": ("bad.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.aco.uk": ("aco.uk", "uk"), "www.example.com:80": ("example.com", "com"),
+        "u@a.b.com.au.": ("b.com.au", "com.au"), "10.0.0.1": ("10.0.0.1", "[ip]"), "10.0.0.1:80": ("10.0.0.1", "[ip]"), "[::1]:80": ("[::1]", "[ip]"),
+        "1.2.3.4.5": ("4.5", "5"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+    host = F.col("host")
+    rows = spark.createDataFrame([(h,) for h in wanted], "host string").select(host, url_filter.domain_of(host), url_filter.suffix_of(host)).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == wanted
+
+
+def test_reputation_stays_within_a_registered_domain(spark):
+    poor = [(n, f"http://h{n % 9}.bad.co.uk/{n}") for n in range(300)]
+    fine = [(1000 + n, f"http://h{n % 9}.good.co.uk/{n}") for n in range(300)]
+    pages = spark.createDataFrame([*poor, *fine, (5000, "http://new.bad.co.uk/"), (5001, "http://new.good.co.uk/")], "page_id long, url string")
+    labels = spark.createDataFrame([(n, int(n >= 1000), 0) for n, _ in poor + fine], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, url_filter.labelled_pages(labels)).collect()}
+    assert {got[n] for n, _ in poor} == {"block"} and {got[n] for n, _ in fine} == {"allow"}
+    assert (got[5000], got[5001]) == ("block", "allow")
+
+
 def test_native_plans(spark, sf_dir):
     for name in ("op9_order_minhash", "op10_url_filter"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

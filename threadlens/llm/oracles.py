@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from threadlens.llm.url_filter import LONG_SUFFIXES
+
 LEVEL = """
 {name}_m AS (SELECT c.*, p.rate AS m FROM {counts} c JOIN {parents} p USING ({parent})),
 {name}_s AS (
@@ -30,11 +32,19 @@ fits AS (
 known AS (
   SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good
   FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+names AS (
+  SELECT host, CASE WHEN ends_with(bare, '.') THEN bare[:-2] ELSE bare END AS name
+  FROM (SELECT host, regexp_replace(list_last(string_split(host, '@')), ':[0-9]*\\z', '') AS bare FROM (SELECT DISTINCT host FROM urls))),
+parts AS (
+  SELECT host, name, starts_with(name, '[') OR regexp_full_match(name, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') AS address,
+    string_split(name, '.') AS labels, array_to_string(labels[-2:], '.') AS two, two IN (LONG_SUFFIXES) AS long FROM names),
+places AS (
+  SELECT host, CASE WHEN address THEN name WHEN long THEN array_to_string(labels[-3:], '.') ELSE two END AS domain,
+    CASE WHEN address THEN '[ip]' WHEN long THEN two ELSE labels[-1] END AS suffix FROM parts),
 hosts AS (
-  SELECT host, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '([^.]*\\.)?[^.]*$') AS domain,
-    regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '[^.]*$') AS suffix,
+  SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix,
     count(good) AS n, coalesce(sum(good), 0)::DOUBLE AS good
-  FROM urls LEFT JOIN known USING (page_id) GROUP BY host),
+  FROM urls JOIN places USING (host) LEFT JOIN known USING (page_id) GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good, 1 AS one FROM domains GROUP BY suffix),
 whole AS (SELECT one, CASE WHEN sum(n) > 0 THEN sum(good) / sum(n) ELSE 1.0 END AS rate FROM suffixes GROUP BY one),
@@ -49,7 +59,7 @@ SELECT page_id, u.host, u.path, f.rule,
   coalesce(f.verdict, CASE WHEN h.rate + 1.645 * sqrt(h.rate * (1 - h.rate) / (h.strength + 1)) < 0.6 THEN 'block' ELSE 'allow' END) AS verdict,
   h.n AS n_labelled, CAST(h.good AS BIGINT) AS n_good
 FROM urls u LEFT JOIN fits f ON u.host = f.host AND u.path = f.path JOIN by_host h ON u.host = h.host"""
-)
+).replace("LONG_SUFFIXES", ", ".join(f"'{s}'" for s in LONG_SUFFIXES))
 
 OP13 = r"""
 WITH rows AS (

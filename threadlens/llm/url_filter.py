@@ -10,7 +10,9 @@ Counts and rates are aggregated, one row a host; pages themselves are shuffled o
 and a host with a third of all pages is a skewed join that Spark splits.
 
 Defined results: a null url or one without ``://`` has an empty host and path, is a host of its own
-for reputation, and fits no rule; without any label nothing but rules blocks; repeated rows are judged alike; an empty table gives no rows; extra columns are ignored.
+for reputation, and fits no rule; the registered domain is one label before the suffix, which is the last label or one
+of LONG_SUFFIXES (other public suffixes of several labels are not known); IP addresses are domains of their own and share
+a suffix; user, port and closing dot belong to the host but not to its domain; without any label nothing but rules blocks; repeated rows are judged alike; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,16 @@ from threadlens.session import materialize
 BOUND = 1.645  # standard deviations of the posterior bound
 LEAST_GOOD = 0.6  # a host whose rate of good pages is surely under this is blocked
 SCATTER = (0.001, 0.999)  # limits of the estimated scatter
+ADDRESSES = "[ip]"  # the suffix of hosts that are IP addresses
+
+# Public suffixes of two labels that many sites share.
+LONG_SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk", "com.mx", "com.my", "com.ph", "com.pl", "com.sg",
+    "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in",
+    "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz",
+    "org.uk", "org.za",
+)
 
 
 class Rule(NamedTuple):
@@ -52,13 +64,29 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def name_of(host: Column) -> Column:
+    """Without user, port and closing dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@|:[0-9]*\z", ""), r"\.\z", "")
+
+
+def is_address(name: Column) -> Column:
+    return name.rlike(r"^[0-9]+(\.[0-9]+){3}\z") | name.startswith("[")
+
+
+_LONG = "|".join(s.replace(".", r"\.") for s in LONG_SUFFIXES)
+
+
 def domain_of(host: Column) -> Column:
-    """The last two labels, without a port."""
-    return F.regexp_extract(F.regexp_replace(host, ":[0-9]*$", ""), r"([^.]*\.)?[^.]*$", 0)
+    """The suffix and the label before it; an IP address is a domain of its own."""
+    name = name_of(host)
+    return F.when(is_address(name), name).otherwise(F.regexp_extract(name, rf"([^.]*\.)?({_LONG}|[^.]*)\z", 0))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(host, ":[0-9]*$", ""), "[^.]*$", 0)
+    """One of the known long suffixes or the last label; IP addresses share one that no name has."""
+    name = name_of(host)
+    long = F.regexp_extract(name, rf"(?:^|\.)({_LONG})\z", 1)
+    return F.when(is_address(name), ADDRESSES).when(long != "", long).otherwise(F.regexp_extract(name, r"[^.]*\z", 0))
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
