@@ -339,6 +339,11 @@ def oracle_sql() -> dict[str, str]:
         "exact_knn": knn(None),
         "index_changes": with_views("vectors", f"SELECT id, {bucket('CAST(vec AS DOUBLE[])', WORD_BITS)} AS bucket, {vec_text('vec')} AS vec FROM held",
             "held AS (SELECT id, CASE WHEN id%7=0 AND id%35<>0 THEN list_reverse(vec) ELSE vec END AS vec FROM vectors WHERE id%5<>0 OR id%35=0)"),
+        "pruned_knn": with_views("vectors", f"""
+            SELECT request_id, CAST(rank AS INT) AS rank, id, {micro('distance')} AS distance_micro FROM (
+              SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, id) AS rank FROM (
+                SELECT c.id AS request_id, v.id, round(1-list_dot_product(CAST(c.vec AS DOUBLE[]), CAST(v.vec AS DOUBLE[])),9) AS distance
+                FROM vectors c, vectors v WHERE c.id%20=0)) WHERE rank<={DEFAULT_K}"""),
         "multiprobe_knn": probed_knn(DOCUMENT_BITS),
         "multiprobe_recall": " UNION ALL ".join(f"""SELECT {round(100 * share)} AS percent, count(*) AS wanted, count(f.id) AS hits
             FROM ({knn(None)}) e LEFT JOIN ({probed_knn(DOCUMENT_BITS, share)}) f ON e.request_id=f.request_id AND e.id=f.id""" for share in RECALL_SHARES),

@@ -9,7 +9,7 @@ from threadlens.functions import labels as lab
 from threadlens.functions.clean import register_sql_functions
 from threadlens.functions.text import html_to_text, tokenize
 from threadlens.functions.vector import add, dot_distance, subtract
-from threadlens.operators import corpus, embeddings, forests, intervals, joins, metrics, multiprobe, sampling, scoring, similarity, skipgram, threads, trees, vector_index, words
+from threadlens.operators import corpus, embeddings, forests, intervals, joins, metrics, multiprobe, pruned, sampling, scoring, similarity, skipgram, threads, trees, vector_index, words
 from threadlens.operators.huffman import huffman_codes as codes_of
 from threadlens.operators.items import scored_stories, submission_corpus, typed_items
 from threadlens.operators.ranking import with_position
@@ -512,6 +512,14 @@ def multiprobe_recall(spark, d):
     return rows[0].union(rows[1]).union(rows[2])
 
 
+@query
+def pruned_knn(spark, d):
+    """Ten neighbours of every twentieth vector, from the blocks of the index that may hold them."""
+    vectors = view(spark, d, "vectors").select("id", "vec")
+    requests = vectors.where("id % 20 = 0").select(F.col("id").alias("request_id"), "vec")
+    return _found(pruned.nearest_pruned(requests, vectors))
+
+
 @query
 def index_changes(spark, d):
     """The vector index after upserts (every 7th vector turned round), deletes (every 5th id), compaction and another upsert."""
