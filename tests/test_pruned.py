@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadlens.operators import pruned
 
@@ -50,9 +51,12 @@ def test_blocks_are_skipped_and_bounded(spark, monkeypatch):
     assert {(r.request_id, r.rank, r.id, r.distance) for r in search.found.collect()} == brute(requests, index, 5)
     visited = sum(r.visited for r in search.visits().collect())
     assert visited < 0.5 * len(requests) * len(blocks.summary[0])
-    assert search.first.join(search.more, ["block", "request_id"], "left_semi").count() == 0
+    pairs = [x.select("request_id", F.explode("blocks").alias("block")) for x in (search.first, search.more)]
+    assert pairs[0].intersect(pairs[1]).count() == 0
     small = pruned.Blocks(stored, rows=16, summary_bytes=8 * (DIM + 3) * 20)
     assert len(small.summary[0]) <= 20
+    monkeypatch.setattr(pruned, "INDEX_BLOCK", 100)  # several regions
+    small = pruned.Blocks(stored, rows=16, summary_bytes=8 * (DIM + 3) * 20)
     monkeypatch.setattr(pruned, "REQUEST_BLOCK", 7)  # a hot block is met by several groups of requests
     got = pruned.Search(asked, small, 5).found.collect()
     assert {(r.request_id, r.rank, r.id, r.distance) for r in got} == brute(requests, index, 5)
