@@ -374,6 +374,20 @@ def test_changed_names_begin_sentences(spark):
     assert found_items(spark, [two], [noise + " " + two.replace("Ann Lee", "Tom").replace("twenty-five", "8"), two.lower().replace("ann lee", "Ann Lee")]) == {(0, 0), (1, 0)}
 
 
+def test_short_items_inside_longer_texts(spark):
+    noise = words(random.Random(5), 30)
+    items = ["Capital of France?", "Ann Lee works here", "yes no", "five apples and pears"]
+    docs = [
+        f"{noise} Capital of France? {noise}", f"{noise} the capital of France {noise}", f"{noise} Capital of Spain? {noise}",  # another value
+        f"{noise} then Ann Lee works here {noise}", f"{noise} then Ann Lee works hard {noise}", f"{noise} yes no {noise}", "yes no",
+        f"{noise} five apples and pears", f"{noise} six apples and pears", "Capital of Spain?", f"Population of France. Capital of France {noise}", noise, "", None,
+    ]
+    assert found_items(spark, items, docs) == {(0, 0), (1, 0), (3, 1), (6, 2), (7, 3), (9, 0), (10, 0)}
+    frame = spark.createDataFrame([(None, docs[0]), (None, docs[0])], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, items[0])], "item_id long, text string")
+    assert decontamination.without_leaks(frame, bench).collect() == []
+
+
 def test_values_that_coincide(spark):
     item = "Ann picks 3 apples and 4 pears before noon and then carries all of them home to her mother."
     assert found_items(spark, [item], [item.replace("3", "5").replace("4", "5")]) == {(0, 0)}

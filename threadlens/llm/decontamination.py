@@ -20,8 +20,12 @@ The windows of the benchmark are broadcast as a sorted array of hashes and, for
 there are at most BROADCAST of them; beyond that all windows are joined by a shuffle. Nothing else
 depends on the size.
 
-Defined results: null is the empty text; an item of fewer than WINDOW tokens has one window and is found
-only in texts made of just these tokens; items without tokens are never found; repeated items and rows
+Short items. An item of fewer than WINDOW tokens has one window. With other values it is found only in texts made of
+just these tokens, as "capital of <name>" alone says too little. As it stands, an item of LEAST_INSIDE tokens or more is found
+anywhere: such items are hash-joined with windows of their own length, and every slot must hold the item's own value.
+
+Defined results: null is the empty text; an item of fewer than LEAST_INSIDE tokens is found only in texts made of just
+these tokens; items without tokens are never found; repeated items and rows
 count each for themselves; null ids are kept; empty tables give no rows; extra columns are ignored.
 """
 
@@ -40,6 +44,7 @@ from threadlens.session import materialize
 
 WINDOW = 5  # tokens
 COVERED = 0.8
+LEAST_INSIDE = 3  # tokens of an item that is found inside longer texts
 BROADCAST = 1 << 20  # benchmark windows
 CACHED_WORDS = 400_000
 BITMAP = 22  # bits of the first look-up
@@ -238,10 +243,11 @@ def window_hashes(codes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _windows(rows: DataFrame, window: int, wanted: np.ndarray | None, item: bool = False) -> DataFrame:
+def _windows(rows: DataFrame, window: int, wanted: np.ndarray | None, item: bool = False, exact: bool = False) -> DataFrame:
     """MATCHES of all windows in all readings, or of those whose hash is in the sorted ``wanted``.
 
-    The windows of an ``item`` begin at as many places as it has with every run read as one token.
+    The windows of an ``item`` begin at as many places as it has with every run read as one token. If it must be
+    found ``exact``, readings that part a run are left out, as they push its last word out of its only window.
     """
     small = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
 
@@ -272,6 +278,8 @@ def _windows(rows: DataFrame, window: int, wanted: np.ndarray | None, item: bool
             for own, which, places, chosen in other_windows(templates, window, choices):
                 for i in hits(own).tolist():
                     t, p = int(which[i]), int(places[i])
+                    if exact and any(int(chosen[i]) >> u & 1 and templates[t].sizes[p + u] > 1 for u in range(window)):
+                        continue
                     if not item or p <= max(0, len(templates[t].codes) - window):
                         out.append((*keys[t], int(own[i]), p, *templates[t].tokens(p, int(chosen[i]), window)))
             if out:
@@ -315,15 +323,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED, broadcast: int = BROADCAST) -> DataFrame:
-    """``(doc_id, row_key, item_id, n_windows, n_found, coverage, n_slots, n_changed)``: items found in documents.
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the number of tokens, with every run as one."""
+    tokens = Tokens()
+    for batch in batches:
+        units = [len(tokens.read(text).codes) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(units, pa.int32())], names=[*batch.schema.names, "units"])
 
-    ``n_slots`` is the most slots of one reading, ``n_changed`` how many of them have another value than in the item.
-    """
-    prepared(docs.sparkSession)
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("doc_id"), F.xxhash64(texts(benchmark)).alias("row_key"), texts(benchmark).alias("text"))
-    items = items.dropDuplicates(["doc_id", "row_key"])
-    parts = _windows(items, window, None, item=True).select(
+
+def _found(docs: DataFrame, items: DataFrame, window: int, covered: float, broadcast: int, exact: bool = False) -> DataFrame:
+    """Rows of ``leaks`` for windows of one length; ``exact`` ones without a changed value."""
+    parts = _windows(items, window, None, item=True, exact=exact).select(
         F.col("doc_id").alias("item_id"), F.col("row_key").alias("item_key"), "hash", F.col("place").alias("item_place"),
         F.col("words").alias("item_words"), F.col("slots").alias("item_slots"), F.col("ats").alias("item_ats"),
     )
@@ -338,6 +348,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered:
     # One reading has at most as many rows as its item has windows, in all their readings.
     readings = found.groupBy(*reading).agg(F.collect_set(F.struct(F.col("item_place").alias("place"), pairs.alias("pairs"))).alias("found"))
     readings = readings.drop("diagonal").mapInArrow(_consistent, READINGS)
+    if exact:
+        readings = readings.where("changed = 0")
     names = ["doc_id", "row_key", "item_id", "item_key"]
     most = readings.withColumn("place", F.explode("places")).groupBy(*names).agg(
         F.countDistinct("place").alias("n_found"), F.max("slots").alias("n_slots"), F.max("changed").alias("n_changed")
@@ -347,6 +359,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered:
     return both.where(share >= covered).select("doc_id", "row_key", "item_id", "n_windows", "n_found", share.alias("coverage"), "n_slots", "n_changed")
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED, broadcast: int = BROADCAST) -> DataFrame:
+    """``(doc_id, row_key, item_id, n_windows, n_found, coverage, n_slots, n_changed)``: items found in documents.
+
+    ``n_slots`` is the most slots of one reading, ``n_changed`` how many of them have another value than in the item.
+    """
+    prepared(docs.sparkSession)
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("doc_id"), F.xxhash64(texts(benchmark)).alias("row_key"), texts(benchmark).alias("text"))
+    items = materialize(items.dropDuplicates(["doc_id", "row_key"]).mapInArrow(_lengths, "doc_id long, row_key long, text string, units int"), "items")
+    found = _found(docs, items.drop("units"), window, covered, broadcast)
+    # One row a length, and there are fewer lengths than a window has tokens.
+    lengths = [r[0] for r in items.where(F.col("units").between(LEAST_INSIDE, window - 1)).select("units").distinct().collect()]
+    if not lengths:
+        return found
+    found = materialize(found, "long-items")
+    keys = ["doc_id", "row_key", "item_id"]
+    known = found.select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
+    for length in sorted(lengths):
+        inside = _found(docs, items.where(F.col("units") == length).drop("units"), length, covered, broadcast, exact=True)
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        found = found.unionByName(inside.join(known, same, "left_anti"))
+    return found
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED) -> DataFrame:
     """``docs`` without the rows in which an item was found; all columns stay."""
     found = leaks(docs, benchmark, window, covered).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
