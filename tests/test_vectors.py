@@ -1,5 +1,6 @@
 """Vector expressions, joins, word arithmetic."""
 
+import hashlib
 import math
 
 import pytest
@@ -38,6 +39,20 @@ def test_seeded_vectors_agree_between_runs(spark):
     assert len({tuple(v) for v in first.values()}) == 50
 
 
+def test_seeded_vectors_take_one_digest_a_key(spark):
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "word string").select("word", vx.seeded_vector(F.col("word"), 4, 0).alias("vec"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    got = {r.word: r.vec for r in rows.collect()}
+    for word in ("a", "b"):
+        start, want = int(hashlib.md5(f"{word}:0".encode()).hexdigest()[:8], 16), []
+        for i in range(1, 5):
+            x = ((start + i * vx.STEP) % vx.MODULUS * vx.FACTOR + vx.ADDEND) % vx.MODULUS
+            x = (x ^ (x >> 15)) * vx.FACTOR % vx.MODULUS
+            want.append(((x >> 8) / 2**24 - 0.5) / 4)
+        assert got[word] == pytest.approx(want, abs=1e-7)
+    assert len(got[None]) == 4
+
+
 def test_joins_by_key(spark):
     items = spark.createDataFrame([(1, 5, "TITLE_1"), (2, 6, "TITLE_2")], "id long, score int, tag string")
     vectors = spark.createDataFrame([(1, [1.0]), (3, [3.0])], PAIR)

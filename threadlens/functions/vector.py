@@ -45,14 +45,18 @@ def seeded_vector(key: Column, dim: int, seed: int = 0) -> Column:
     numbers that every engine computes alike, and keeps the upper 24 bits, as the lower ones repeat.
     """
     start = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
+    places = F.sequence(F.lit(1).cast("bigint"), F.lit(dim).cast("bigint"))
 
-    def value(i: Column) -> Column:
-        mixed = (start + i * STEP) % MODULUS
-        mixed = (mixed * FACTOR + ADDEND) % MODULUS
+    def value(mixed: Column) -> Column:
         mixed = (mixed.bitwiseXOR(F.shiftright(mixed, 15)) * FACTOR) % MODULUS
         return ((F.shiftright(mixed, 8).cast("double") / float(1 << 24) - 0.5) / dim).cast("float")
 
-    return F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(dim).cast("bigint")), value)
+    # What is used more than once is an argument of a lambda function: a plain expression would be computed at every use,
+    # the digest twice a place.
+    def places_of(first: Column) -> Column:
+        return F.transform(F.transform(places, lambda i: ((first + i * STEP) % MODULUS * FACTOR + ADDEND) % MODULUS), value)
+
+    return F.element_at(F.transform(F.array(start), places_of), 1)
 
 
 def mean_columns(vec: Column, weight: Column, count: Column, dim: int) -> list[Column]:
