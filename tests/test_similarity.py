@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadlens.operators import similarity as sim
 
@@ -54,6 +55,16 @@ def test_exact_and_hashed(spark, data, monkeypatch, budget, partitions):
     assert {(r.request_id, r.id) for r in hashed.collect()} <= near
 
 
+def test_many_requests_are_not_broadcast(spark, monkeypatch):
+    """20,000 requests of 64 places, 10 MB of vectors, meet the index in blocks."""
+    whole = lambda *a, **b: pytest.fail("broadcast")
+    monkeypatch.setattr(sim, "_search_broadcast", whole)
+    vec = F.array(*[((F.col("id") * (i + 3)) % 97 / 97.0 - 0.5) for i in range(64)]).alias("vec")
+    requests = spark.range(20_000).select(F.col("id").alias("request_id"), vec)
+    found = sim.nearest_by_hash(requests, spark.range(40).select("id", vec), sim.hyperplanes(1, 64), k=1)
+    assert 0 < found.count() <= 20_000
+
+
 def test_ties_go_to_the_smaller_id(spark, data):
     _, index, _, requests = data
     found = keyed(sim.nearest_exact(requests.where("request_id = 'r0'"), index, k=20))
