@@ -72,6 +72,22 @@ def test_word_vectors_find_topics_on_any_partitioning(spark, topics):
     assert all(words[i][:2] == words[j][:2] for i, j in enumerate(near.argmax(axis=1)))
 
 
+def test_moves_are_shuffled_once_and_as_floats(spark, topics, monkeypatch):
+    """Moves of the blocks are neither stored nor widened to partial sums before their one shuffle."""
+    plans, moved = [], skipgram._moved
+
+    def seen(rows, updates, dim):
+        found = moved(rows, updates, dim)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(skipgram, "_moved", seen)
+    trained(spark, topics, 2)
+    plan = plans[0]
+    trained_at, shuffled_at = plan.index("FlatMapCoGroupsInArrow"), plan.index("partial_sum")
+    assert shuffled_at < plan.index("Exchange hashpartitioning(key", shuffled_at) < trained_at  # partial sums come after it
+
+
 def test_vocabulary_cap_and_no_words(spark):
     rows = [(1, ["a"] * 9 + ["b"] * 6 + ["d"] * 3 + ["c"] * 3), (2, [])]
     assert set(trained(spark, rows, 1, size=3)) == {"a", "b", "c"}
