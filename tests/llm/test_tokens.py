@@ -192,3 +192,10 @@ def test_maintained_counts(spark, sf_dir):
                 want[(*key, "bytes")] += len(text.encode())
     got = token_rollup.maintained_counts(docs).collect()
     assert {(r["source"], r["lang"], r["tokenizer"], c): r[c] for r in got for c in ("docs", "tokens", "bytes")} == dict(want)
+
+
+def test_a_worker_reads_the_tokenizer_once():
+    first, second = Encoder(PATH), Encoder(PATH)
+    assert first.tokenizer is second.tokenizer and first.known is not second.known
+    for chunk in ("word", " word", " Élan", "a1", " a1", " ", "\n", "'s", " ."):
+        assert second.known[chunk] == second._whole(chunk)

@@ -14,6 +14,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 # White space as the byte-level pattern sees it, some letters, and some marks that are neither letter, digit,
 # space nor apostrophe: between such a letter and such a mark there is always a split.
@@ -57,6 +58,14 @@ def _splits_bytewise(path: str) -> bool:
     )
 
 
+@lru_cache(maxsize=4)
+def _loaded(path: str):
+    """The library's tokenizer and whether its chunks are independent: read once a Python worker, which runs many tasks."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path), _splits_bytewise(path)
+
+
 class _Chunks(dict):
     """Ids of chunks; one that is not known is encoded when it is asked for."""
 
@@ -88,15 +97,13 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.chunked = _splits_bytewise(path)
+        self.tokenizer, self.chunked = _loaded(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.split = re.compile(CHUNK).findall
         self.word = re.compile(WORD).fullmatch
         self.letters = byte_letters()
+        self.space = self.letters[ord(" ")]
         self.merge = self.tokenizer.model.tokenize
         self.known = _Chunks(self._chunk)
 
@@ -104,9 +111,15 @@ class Encoder:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _chunk(self, chunk: str) -> bytes:
+        # The library's pattern would leave letters whole, so its merges alone are asked for.
+        if chunk.isascii():
+            spaced = chunk[0] == " "
+            word = chunk[1:] if spaced else chunk
+            if not word.isalpha():
+                return self._whole(chunk)
+            return _packed([t.id for t in self.merge(self.space + word if spaced else word)])
         if not self.word(chunk):
             return self._whole(chunk)
-        # The library's pattern would leave this whole, so its merges alone are asked for.
         return _packed([t.id for t in self.merge(chunk.encode().decode("latin-1").translate(self.letters))])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
