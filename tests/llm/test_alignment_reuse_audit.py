@@ -268,3 +268,16 @@ def test_nothing(nothing, spark):
     assert alignment.alignment(nothing).count() == 0
     assert chunk_reuse.encoding_digests(nothing).count() == 0
     assert filter_audit.filter_interactions(nothing.withColumn("source", F.lit("x")), labels).count() == 0
+
+
+def test_words_of_latin_letters_are_merged_alone(monkeypatch):
+    plain = ["Élan", "straße", "ÀÞß.", "ÿ", "naïve,", "Plain"]
+    other = ["a×b", "é", "ÿ1", "Ā", "日本"]
+    expected = {w: WORDS.together(w.encode()) for w in plain + other}
+    fresh = chunk_reuse.WordEncoder(WORD_PATH)
+    assert fresh.library is WORDS.library
+    assert [fresh[w.encode()] for w in other] == [expected[w] for w in other]
+    asked, together = [], fresh.together
+    monkeypatch.setattr(fresh, "together", lambda word: asked.append(word) or together(word))
+    assert [fresh[w.encode()] for w in plain] == [expected[w] for w in plain]
+    assert set(asked) <= {b".", b","}

@@ -32,6 +32,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import prepared, texts
-from threadlens.llm.tokens import tokenizer_path
+from threadlens.llm.tokens import _packed, byte_letters, tokenizer_path
 from threadlens.session import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -49,7 +50,9 @@ MASK_BITS = 9  # a cut in 512 bytes
 LEAST, MOST = 128, 4096  # bytes of a chunk
 GEAR = np.frombuffer(hashlib.shake_128(b"rolling hash").digest(1024), "<u4")
 KEPT_WORDS, KEPT_LENGTH = 400_000, 48  # bounds of the words a task remembers: number, and bytes of one
-PLAIN_WORD = re.compile(rb"([A-Za-z]*)([.,;:!?]*)")
+# Latin-1 letters as UTF-8: no form of theirs is shorter, and lower case is a letter for a letter.
+LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+PLAIN_WORD = re.compile(rb"(" + LETTERS + rb"*)([.,;:!?]*)")
 LETTERS_DIGITS_MARKS = ["[\\p{L}]+", "[\\p{N}]", "[^\\s\\p{L}\\p{N}]+"]  # fixed values: how such a pattern ends
 FILTER_BITS = 1 << 26  # 8 MB
 SEEN_TEXTS = 1_000_000  # digests a task remembers, to pass equal texts on once
@@ -128,18 +131,26 @@ def splits_marks(path: str) -> bool:
     return steps == ["NFC", "Replace", "Lowercase"] and pattern[-3:] == LETTERS_DIGITS_MARKS and all(p.startswith("'") for p in pattern[:-3])
 
 
+@lru_cache(maxsize=4)
+def _loaded(path: str):
+    """The library's tokenizer and whether it splits marks: read once a Python worker, which runs many tasks."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library, splits_marks(path)
+
+
 class WordEncoder(dict):
     """Ids of words as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         super().__init__()
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.plain = PLAIN_WORD.fullmatch if splits_marks(path) else lambda word: None
+        self.library, parted = _loaded(path)
+        self.plain = PLAIN_WORD.fullmatch if parted else lambda word: None
         self.merge = self.library.model.tokenize
+        self.letters = byte_letters()
 
     def together(self, text: bytes) -> bytes:
         """What the library makes of a text as a whole."""
@@ -153,7 +164,8 @@ class WordEncoder(dict):
         elif plain[2] and plain[1]:
             ids = self[plain[1]] + self[plain[2]]
         else:  # one piece of the library's pattern: its merges alone are asked for
-            ids = np.array([t.id for t in self.merge(word.decode("ascii").lower())], "<u4").tobytes()
+            word_bytes = word.decode("utf-8").lower().encode("utf-8")
+            ids = _packed([t.id for t in self.merge(word_bytes.decode("latin-1").translate(self.letters))])
         if len(word) <= KEPT_LENGTH:
             if len(self) >= KEPT_WORDS:
                 self.clear()
