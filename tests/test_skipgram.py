@@ -88,6 +88,19 @@ def test_moves_are_shuffled_once_and_as_floats(spark, topics, monkeypatch):
     assert shuffled_at < plan.index("Exchange hashpartitioning(key", shuffled_at) < trained_at  # partial sums come after it
 
 
+def test_waves_bound_what_is_on_its_way_and_give_the_same_vectors(spark, topics, monkeypatch):
+    asked, run = [], skipgram._run_epoch
+
+    def seen(sentences, vectors, *rest):
+        asked.append(vectors.select("block").distinct().count())
+        return run(sentences, vectors, *rest)
+
+    monkeypatch.setattr(skipgram, "_run_epoch", seen)
+    one, waves = (trained(spark, topics, 3, epochs=2, wave_blocks=n) for n in (100, 3))
+    assert asked[:2] == [8, 8] and len(asked) == 2 + 2 * 3 and max(asked[2:]) == 3
+    assert set(one) == set(waves) and max(np.abs(one[w] - waves[w]).max() for w in one) < 1e-5
+
+
 def test_vocabulary_cap_and_no_words(spark):
     rows = [(1, ["a"] * 9 + ["b"] * 6 + ["d"] * 3 + ["c"] * 3), (2, [])]
     assert set(trained(spark, rows, 1, size=3)) == {"a", "b", "c"}
